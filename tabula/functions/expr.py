@@ -126,3 +126,13 @@ def dtype_of(df: DataFrame, name: str) -> T.DataType:
 def long_from_structs(structs: list[Column]) -> Column:
     """Explode an array of same-shaped structs: the wide-to-long step after a one-row aggregate."""
     return F.inline(F.array(*structs))
+
+
+def np_round(c: str | Column, digits: int = 0) -> Column:
+    """Round like NumPy / pandas: ``rint(x * 10^d) / 10^d`` (half-to-even on the binary value).
+
+    ``F.round`` rounds the shortest decimal string half-up, which differs on values such as
+    -1.2479625 whose binary value lies just below the half.
+    """
+    m = float(10 ** digits)
+    return F.rint(col_of(c) * F.lit(m)) / F.lit(m)

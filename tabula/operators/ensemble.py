@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabula.functions.expr import np_round
+
 
 def vote_soft(long: DataFrame, row_id: str = "row_id", score: str = "score", threshold: float = 0.5,
               extra: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
@@ -13,7 +15,7 @@ def vote_soft(long: DataFrame, row_id: str = "row_id", score: str = "score", thr
     ``digits`` rounds the mean before the comparison (makes ties at the threshold engine-independent).
     """
     mean = F.avg(score)
-    g = long.groupBy(row_id, *extra).agg((F.round(mean, digits) if digits is not None else mean).alias("score"))
+    g = long.groupBy(row_id, *extra).agg((np_round(mean, digits) if digits is not None else mean).alias("score"))
     return g.withColumn("prediction", (F.col("score") >= threshold).cast("int"))
 
 

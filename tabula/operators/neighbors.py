@@ -1,17 +1,20 @@
 """Exact k-nearest neighbours without a cross join (M3 kernel, also used by SMOTE).
 
-Metric-space pruning with pivots:
-
-* m pivot rows are drawn from the reference side by hash (m vectors reach the driver); every row
-  gets its distances to the pivots (a narrow projection with literal pivots);
-* reference rows are keyed by a *cell* of their distance to pivot 0; a query with search radius r
-  only needs the cells within r of its own (triangle inequality), so candidates come from an
-  **equi-join on cell** after exploding each query into its 2t+1 neighbouring cells;
-* candidates are pruned by the other pivots' lower bounds, exact distances are computed, and a
-  query is *certified* once at least k reference rows lie within r: those k are then exactly its
-  nearest (every row within r was a candidate). Uncertified queries double r and go again.
-
-Ties in distance are broken by reference id. Distances: euclidean or manhattan on array<double>.
+Two rounds over a one-dimensional metric index:
+
+* a pivot row is drawn from the reference side by hash; every row gets its distance to the pivot
+  ``d0`` (a narrow projection with a literal pivot). Reference rows are bucketed into equal-count
+  *cells* of ``d0`` (bounds from a quantile sketch, at most ``max_cells`` of them);
+* round 1: each query visits its own and the adjacent cells; the k-th smallest distance found there,
+  D, bounds its true k-th neighbour distance;
+* round 2: by the triangle inequality every reference row within D has ``|d0(x) - d0(q)| <= D``, so the
+  query visits exactly the cells overlapping that band; the k nearest found there are exact.
+
+Pairs are never materialised as rows: query and reference rows meet per cell through
+``cogroup(...).applyInPandas`` where a numpy kernel computes the block of distances and emits only
+each query's k best. Hot cells are split into salted sub-blocks (queries replicated per salt), so no
+block exceeds ``block_rows`` reference rows. Distances accumulate dimension by dimension (the same
+order as a sequential SQL sum); ties are broken by reference id.
 """
 
 from __future__ import annotations
@@ -19,14 +22,15 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabula.functions.expr import hash_key
-from tabula.session import ensure_checkpoint_dir
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
+    """Distance of two array<double> columns as a Spark expression (used for the pivot distances)."""
     if metric == "euclidean":
         s = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
         return F.sqrt(s)
@@ -39,81 +43,127 @@ def as_double_array(c: Column) -> Column:
     return F.transform(c, lambda x: x.cast("double"))
 
 
-def _pivot_dists(v: Column, pivots: list[list[float]], metric: str) -> Column:
-    return F.array(*[distance(v, F.array(*[F.lit(float(x)) for x in p]), metric) for p in pivots])
+def _block_kernel(k: int, metric: str, exclude_self: bool, with_label: bool, chunk: int = 512):
+    """cogroup kernel: (queries of a cell block, references of that block) -> each query's k best."""
+    import numpy as np
+    import pandas as pd
+
+    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        cols = ["q_id", "r_id", "distance"] + (["r_label"] if with_label else [])
+        if len(q) == 0 or len(r) == 0:
+            return pd.DataFrame({c: [] for c in cols})
+        qv = np.vstack(q["qv"].to_numpy()).astype(float)
+        rv = np.vstack(r["rv"].to_numpy()).astype(float)
+        qid = q["q_id"].to_numpy()
+        rid = r["r_id"].to_numpy()
+        rank_r = np.argsort(np.argsort(rid, kind="stable"), kind="stable")  # id order for ties
+        out = []
+        for s in range(0, len(q), chunk):
+            qa = qv[s:s + chunk]
+            acc = np.zeros((len(qa), len(rv)))
+            for j in range(qv.shape[1]):
+                diff = qa[:, j, None] - rv[None, :, j]
+                acc += diff * diff if metric == "euclidean" else np.abs(diff)
+            d = np.sqrt(acc) if metric == "euclidean" else acc
+            if exclude_self:
+                d = np.where(qid[s:s + chunk, None] == rid[None, :], np.inf, d)
+            kk = min(k, len(rv))
+            # k smallest by (distance, id): lexsort on the candidate set of each row
+            part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < len(rv) else np.tile(np.arange(len(rv)), (len(qa), 1))
+            for i in range(len(qa)):
+                cand = part[i]
+                kth = d[i, cand].max()
+                cand = np.nonzero(d[i] <= kth)[0]  # include ties at the k-th distance
+                order = np.lexsort((rank_r[cand], d[i, cand]))[:kk]
+                sel = cand[order]
+                sel = sel[np.isfinite(d[i, sel])]
+                for c in sel:
+                    row = [qid[s + i], rid[c], float(d[i, c])]
+                    if with_label:
+                        row.append(r["r_label"].iat[c])
+                    out.append(row)
+        return pd.DataFrame(out, columns=cols)
+
+    return fn
 
 
 def knn(queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclidean",
         q_id: str = "q_id", r_id: str = "r_id", vec: str = "v", label: str | None = "label",
-        exclude_self: bool = False, n_pivots: int = 8, target_candidates: int = 8, seed: int = 17,
-        max_rounds: int = 40) -> DataFrame:
-    """k nearest reference rows of every query: (q_id, rank, r_id, distance[, label]).
+        exclude_self: bool = False, cell_rows: int = 2048, block_rows: int = 8192, max_cells: int = 100000,
+        seed: int = 17) -> DataFrame:
+    """k nearest reference rows of every query: (q_id, rank, r_id, distance[, r_label]).
 
     ``queries``: (q_id, v); ``reference``: (r_id, v[, label]); ``v`` is array<double>.
     ``exclude_self`` drops pairs with q_id == r_id (neighbours within one set).
     """
     spark = queries.sparkSession
-    ensure_checkpoint_dir(spark)
     ref_cols = [F.col(r_id).alias("r_id"), F.col(vec).alias("rv")]
     if label is not None:
         ref_cols.append(F.col(label).alias("r_label"))
     ref = reference.select(*ref_cols)
     qs = queries.select(F.col(q_id).alias("q_id"), F.col(vec).alias("qv"))
-
-    piv_rows = (ref.orderBy(hash_key(F.col("r_id"), seed)).limit(n_pivots).select("rv").collect())
-    pivots = [list(r["rv"]) for r in piv_rows]
-    if not pivots:
-        schema = "q_id long, rank int, r_id long, distance double" + (", r_label int" if label else "")
-        return spark.createDataFrame([], schema)
-    ref = ref.withColumn("rp", _pivot_dists(F.col("rv"), pivots, metric))
-    qs = qs.withColumn("qp", _pivot_dists(F.col("qv"), pivots, metric))
-    st = ref.agg(F.count(F.lit(1)).alias("n"), F.min(F.col("rp")[0]).alias("lo"), F.max(F.col("rp")[0]).alias("hi")).first()
-    n_ref, lo, hi = int(st["n"]), float(st["lo"]), float(st["hi"])
-    span = max(hi - lo, 1e-12)
-    n_cells = max(1, n_ref // max(1, target_candidates * k))
-    width = span / n_cells
-    ref = ref.withColumn("cell", F.floor((F.col("rp")[0] - F.lit(lo)) / F.lit(width)).cast("long"))
-    ref = ref.persist(StorageLevel.MEMORY_AND_DISK)
-
-    need = k
-    radius = width
-    done_parts = []
-    active = qs.withColumn("qcell", F.floor((F.col("qp")[0] - F.lit(lo)) / F.lit(width)).cast("long"))
-    active = active.persist(StorageLevel.MEMORY_AND_DISK)
-    n_active = active.count()
-    # d(q, x) <= d(q, p0) + d(p0, x): beyond this radius every reference row is within reach
-    qmax = active.agg(F.max(F.col("qp")[0]).alias("m")).first()["m"]
-    max_r = float(qmax or 0.0) + hi + width
-    for _ in range(max_rounds):
-        if n_active == 0:
-            break
-        t = int(math.ceil(radius / width))
-        exploded = active.withColumn("cell", F.explode(F.sequence(F.col("qcell") - t, F.col("qcell") + t)))
-        cand = exploded.join(ref, "cell")
-        if exclude_self:
-            cand = cand.where(F.col("q_id") != F.col("r_id"))
-        lb = F.aggregate(F.zip_with(F.col("qp"), F.col("rp"), lambda a, b: F.abs(a - b)), F.lit(0.0),
-                         lambda acc, x: F.greatest(acc, x))
-        cand = cand.where(lb <= F.lit(radius))
-        cand = cand.withColumn("distance", distance(F.col("qv"), F.col("rv"), metric)).where(F.col("distance") <= radius)
-        keep = ["q_id", "r_id", "distance"] + (["r_label"] if label is not None else [])
-        cand = cand.select(*keep)
+    q_type = qs.schema["q_id"].dataType.simpleString()
+    r_type = ref.schema["r_id"].dataType.simpleString()
+    lab_type = ref.schema["r_label"].dataType.simpleString() if label is not None else None
+    out_schema = f"q_id {q_type}, r_id {r_type}, distance double" + (f", r_label {lab_type}" if label else "")
+
+    pivot = ref.orderBy(hash_key(F.col("r_id"), seed)).select("rv").limit(1).collect()
+    if not pivot:
+        return spark.createDataFrame([], out_schema.replace("distance double", "rank int, distance double"))
+    p0 = F.array(*[F.lit(float(x)) for x in pivot[0]["rv"]])
+    ref = ref.withColumn("d0", distance(F.col("rv"), p0, metric))
+    qs = qs.withColumn("d0", distance(F.col("qv"), p0, metric))
+
+    n_ref = ref.count()
+    n_cells = int(min(max_cells, max(1, n_ref // max(cell_rows, k))))
+    if n_cells > 1:
+        probs = [i / n_cells for i in range(1, n_cells)]
+        bounds = ref.agg(F.percentile_approx("d0", probs, max(10000, 4 * n_cells)).alias("b")).first()["b"]
+        splits = [float("-inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
+    else:
+        splits = [float("-inf"), float("inf")]
+    last_cell = len(splits) - 2
+
+    def bucket(df, src, dst):
+        if len(splits) < 3:
+            return df.withColumn(dst, F.lit(0))
+        return Bucketizer(splits=splits, inputCol=src, outputCol=dst).transform(df).withColumn(dst, F.col(dst).cast("int"))
+
+    ref = bucket(ref, "d0", "cell")
+    # hot cells (many equal d0 values) are split into salted blocks; the table has <= n_cells rows
+    sizes = ref.groupBy("cell").count().where(F.col("count") > block_rows).collect()
+    salts = {int(r["cell"]): int(math.ceil(r["count"] / block_rows)) for r in sizes}
+    if salts:
+        smap = F.create_map(*[x for c, s in salts.items() for x in (F.lit(c), F.lit(s))])
+        n_salt = lambda c: F.coalesce(smap[c], F.lit(1))
+    else:
+        n_salt = lambda c: F.lit(1)
+    ref = ref.withColumn("salt", F.pmod(F.xxhash64(F.col("r_id")), n_salt(F.col("cell"))).cast("int"))
+    ref = ref.select("cell", "salt", "r_id", "rv", *(["r_label"] if label else [])).persist(StorageLevel.MEMORY_AND_DISK)
+    qs = bucket(qs, "d0", "qcell").persist(StorageLevel.MEMORY_AND_DISK)
+
+    kernel = _block_kernel(k, metric, exclude_self, label is not None)
+
+    def run(q_cells: DataFrame) -> DataFrame:
+        """q_cells: (q_id, qv, cell) -> per-query k best over the visited cells."""
+        qx = q_cells.withColumn("salt", F.explode(F.sequence(F.lit(0), n_salt(F.col("cell")) - 1)))
+        part = (qx.select("cell", "salt", "q_id", "qv").groupBy("cell", "salt")
+                .cogroup(ref.groupBy("cell", "salt")).applyInPandas(kernel, out_schema))
         w = Window.partitionBy("q_id").orderBy("distance", "r_id")
-        ranked = cand.withColumn("rank", F.row_number().over(w)).withColumn("n_within", F.count(F.lit(1)).over(
-            Window.partitionBy("q_id")))
-        # the k-limited ranking keeps only k rows per query; n_within certifies completeness
-        ranked = ranked.where(F.col("rank") <= need)
-        final_round = radius >= max_r
-        certified = ranked.where((F.col("n_within") >= need) | F.lit(final_round))
-        certified = certified.checkpoint(eager=True)
-        done_parts.append(certified.drop("n_within"))
-        done_ids = certified.select("q_id").distinct()
-        active = active.join(done_ids, "q_id", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
-        n_active = active.count()
-        radius *= 2
-    out = done_parts[0]
-    for p in done_parts[1:]:
-        out = out.unionByName(p)
+        return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    # round 1: own cell and its neighbours -> an upper bound D on the k-th neighbour distance
+    near = qs.withColumn("cell", F.explode(F.sequence(F.greatest(F.col("qcell") - 1, F.lit(0)),
+                                                      F.least(F.col("qcell") + 1, F.lit(last_cell)))))
+    r1 = run(near.select("q_id", "qv", "cell"))
+    bound = r1.groupBy("q_id").agg(F.max("distance").alias("D"), F.count(F.lit(1)).alias("n"))
+    qb = qs.join(bound, "q_id", "left").withColumn(
+        "D", F.when(F.col("n") >= k, F.col("D")).otherwise(F.lit(float("inf"))))
+    # round 2: exactly the cells that intersect [d0 - D, d0 + D]
+    qb = qb.withColumn("lo_d", F.col("d0") - F.col("D")).withColumn("hi_d", F.col("d0") + F.col("D"))
+    qb = bucket(bucket(qb, "lo_d", "lo_c"), "hi_d", "hi_c")
+    band = qb.withColumn("cell", F.explode(F.sequence("lo_c", "hi_c")))
+    out = run(band.select("q_id", "qv", "cell"))
     cols = ["q_id", "rank", "r_id", "distance"] + (["r_label"] if label is not None else [])
     return out.select(*cols)
 
@@ -131,8 +181,8 @@ def knn_vote(neigh: DataFrame, weights: str = "uniform") -> DataFrame:
         src = neigh.withColumn("__z", has_zero)
         w = F.when(F.col("__z") == 1, (F.col("distance") == 0).cast("double")).otherwise(1.0 / F.col("distance"))
     votes = src.groupBy("q_id", "r_label").agg(F.sum(w).alias("votes"))
-    best = votes.groupBy("q_id").agg(F.max_by(F.col("r_label"), F.struct(F.col("votes"), -F.col("r_label"))).alias("prediction"))
-    return best
+    return votes.groupBy("q_id").agg(
+        F.max_by(F.col("r_label"), F.struct(F.col("votes"), -F.col("r_label"))).alias("prediction"))
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 3, metric: str = "euclidean",

@@ -21,6 +21,7 @@ from tabula.functions.expr import (
     adjusted_skew,
     is_missing,
     long_from_structs,
+    np_round,
     numeric_columns,
     qcol,
     sentinel_mask,
@@ -102,7 +103,7 @@ def missing_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
                for i, c in enumerate(cols)]
     out = (df.agg(*aggs).select(long_from_structs(structs))
            .where(F.col("missing_count") > 0)
-           .withColumn("missing_pct", F.round(F.col("missing_count") / F.col("n") * 100, 2)))
+           .withColumn("missing_pct", np_round(F.col("missing_count") / F.col("n") * 100, 2)))
     w = Window.orderBy(F.col("missing_pct").desc(), F.col("ordinal"))  # k rows, single partition is fine
     return out.withColumn("rank", F.row_number().over(w)).select("column_name", "missing_count", "missing_pct", "rank")
 
@@ -194,8 +195,8 @@ def skew_kurtosis(df: DataFrame, features: Sequence[str], digits: int = 3) -> Da
     w = Window.orderBy(F.abs(F.col("skew_raw")).desc_nulls_last(), F.col("feature"))
     return out.select(
         "feature",
-        F.round("skew_raw", digits).alias("skewness"),
-        F.round("kurt_raw", digits).alias("kurtosis"),
+        np_round("skew_raw", digits).alias("skewness"),
+        np_round("kurt_raw", digits).alias("kurtosis"),
         F.when(F.abs(F.col("skew_raw")) > SKEW_FLAG_LIMIT, F.lit(SKEW_FLAG_TEXT)).otherwise(F.lit("")).alias("skew_flag"),
         F.row_number().over(w).alias("rank"),
     )

@@ -480,3 +480,20 @@ def q_error_describe(spark, sf):
     errs = cols_ops.misclassified(_val(spark, sf).where(F.col("model") == "m1")).select("row_id")
     rows = planted(spark, sf).join(errs, "row_id", "left_semi")
     return rounded(prof.describe(rows, ["l_quantity", "l_discount"]))
+
+
+_FOLDED = ("(SELECT model, CAST(CAST(floor((CAST(('0x' || substr(md5(row_id || ':5'), 1, 8)) AS UBIGINT) "
+           f"/ 4294967296.0) * 5) AS INTEGER) AS VARCHAR) AS method, label, prediction FROM {_VAL} v)")
+
+
+@register("cv_summary", f"""
+SELECT model, round(avg(f1), 6) AS mean_f1, round(stddev_pop(f1), 6) AS std_f1, count(*) AS n_folds
+FROM {_wprf_sql(_FOLDED)} w GROUP BY model""")
+def q_cv_summary(spark, sf):
+    """T7's aggregation: per-fold weighted F1 -> mean and population std per model (fold = md5 fifth)."""
+    from tabula.functions.expr import uniform01
+    from tabula.operators.search import cv_summary
+
+    v = _val(spark, sf).withColumn("fold", F.floor(uniform01("row_id", 5) * 5).cast("int"))
+    per_fold = metrics.weighted_prf(v, ["model", "fold"])
+    return rounded(cv_summary(per_fold, ["model"]))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from tabula.functions.expr import np_round
 from pyspark.sql import types as T
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +34,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col("`" + f.name + "`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits)
+            c = np_round(c.cast("double"), digits)
         out.append(c.alias(f.name))
     return df.select(*out)
