@@ -91,7 +91,7 @@ def gbt(profile: str = "A", overrides: Mapping | None = None, seed: int = 42, fe
     p = booster_params(profile, overrides)
     g = GBTClassifier(featuresCol=features, labelCol=label, seed=seed, lossType="logistic", maxBins=max_bins, **p)
     if validation_col:
-        g.setValidationIndicatorCol(validation_col).setValidationTol(validation_tol)
+        g.setParams(validationIndicatorCol=validation_col, validationTol=validation_tol)
     return g
 
 

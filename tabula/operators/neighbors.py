@@ -56,8 +56,11 @@ def _block_kernel(k: int, metric: str, exclude_self: bool, with_label: bool, chu
         rv = np.vstack(r["rv"].to_numpy()).astype(float)
         qid = q["q_id"].to_numpy()
         rid = r["r_id"].to_numpy()
-        rank_r = np.argsort(np.argsort(rid, kind="stable"), kind="stable")  # id order for ties
-        out = []
+        rlab = r["r_label"].to_numpy() if with_label else None
+        rank_r = np.argsort(np.argsort(rid, kind="stable"), kind="stable").astype(float)  # id order for ties
+        kk = min(k, len(rv))
+        out_q, out_r = [], []
+        out_d = []
         for s in range(0, len(q), chunk):
             qa = qv[s:s + chunk]
             acc = np.zeros((len(qa), len(rv)))
@@ -67,22 +70,26 @@ def _block_kernel(k: int, metric: str, exclude_self: bool, with_label: bool, chu
             d = np.sqrt(acc) if metric == "euclidean" else acc
             if exclude_self:
                 d = np.where(qid[s:s + chunk, None] == rid[None, :], np.inf, d)
-            kk = min(k, len(rv))
-            # k smallest by (distance, id): lexsort on the candidate set of each row
-            part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < len(rv) else np.tile(np.arange(len(rv)), (len(qa), 1))
-            for i in range(len(qa)):
-                cand = part[i]
-                kth = d[i, cand].max()
-                cand = np.nonzero(d[i] <= kth)[0]  # include ties at the k-th distance
-                order = np.lexsort((rank_r[cand], d[i, cand]))[:kk]
-                sel = cand[order]
-                sel = sel[np.isfinite(d[i, sel])]
-                for c in sel:
-                    row = [qid[s + i], rid[c], float(d[i, c])]
-                    if with_label:
-                        row.append(r["r_label"].iat[c])
-                    out.append(row)
-        return pd.DataFrame(out, columns=cols)
+            rows = np.arange(len(qa))[:, None]
+            sel = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < len(rv) else np.tile(np.arange(len(rv)), (len(qa), 1))
+            kth = d[rows, sel].max(axis=1)
+            n_le = (d <= kth[:, None]).sum(axis=1)
+            order = np.lexsort((rank_r[sel], d[rows, sel]), axis=-1)
+            sel = np.take_along_axis(sel, order, axis=1)
+            # rows with ties at the k-th distance: pick by (distance, id) among all tied candidates
+            for i in np.nonzero(n_le > kk)[0]:
+                cand = np.nonzero(d[i] <= kth[i])[0]
+                sel[i] = cand[np.lexsort((rank_r[cand], d[i, cand]))[:kk]]
+            dist = d[rows, sel]
+            ok = np.isfinite(dist)
+            out_q.append(np.repeat(qid[s:s + chunk], kk).reshape(len(qa), kk)[ok])
+            out_r.append(sel[ok])
+            out_d.append(dist[ok])
+        idx = np.concatenate(out_r)
+        res = {"q_id": np.concatenate(out_q), "r_id": rid[idx], "distance": np.concatenate(out_d)}
+        if with_label:
+            res["r_label"] = rlab[idx]
+        return pd.DataFrame(res, columns=cols)
 
     return fn
 

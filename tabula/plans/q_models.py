@@ -245,7 +245,7 @@ def q_permutation_importance(spark, sf):
 
 
 # fixed coefficients of a linear margin (a model stated as a rule, so the oracle can reproduce it)
-LIN_COEFS = {"l_quantity": 0.08, "l_discount": 25.0, "l_tax": -4.0}
+LIN_COEFS = {"l_quantity": 0.0812345678, "l_discount": 24.6913578, "l_tax": -3.90123457}
 LIN_INTERCEPT = -5.0
 
 
