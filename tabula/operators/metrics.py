@@ -31,10 +31,15 @@ def batch_score(model, df: DataFrame, prob_col: str = "probability", out_score:
 
 # ---------------------------------------------------------------- E2 / E5
 
-def per_class(df: DataFrame, keys: Sequence[str] = (), label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """(keys..., class, tp, support, predicted, precision, recall, f1); empty denominators -> 0."""
+def per_class(df: DataFrame, keys: Sequence[str] = (), label: str = "label", prediction: str = "prediction",
+              count_col: str | None = None) -> DataFrame:
+    """(keys..., class, tp, support, predicted, precision, recall, f1); empty denominators -> 0.
+
+    ``count_col``: the input is already aggregated and this column holds each row's multiplicity.
+    """
     keys = list(keys)
-    cm = df.groupBy(*keys, qcol(label).alias("__l"), qcol(prediction).alias("__p")).count()
+    n = F.sum(count_col) if count_col else F.count(F.lit(1))
+    cm = df.groupBy(*keys, qcol(label).alias("__l"), qcol(prediction).alias("__p")).agg(n.alias("count"))
     sup = cm.groupBy(*keys, F.col("__l").alias("class")).agg(
         F.sum("count").alias("support"), F.sum(F.when(F.col("__l") == F.col("__p"), F.col("count")).otherwise(0)).alias("tp"))
     prd = cm.groupBy(*keys, F.col("__p").alias("class")).agg(F.sum("count").alias("predicted"))
@@ -49,9 +54,10 @@ def per_class(df: DataFrame, keys: Sequence[str] = (), label: str = "label", pre
                                           F.col("predicted").cast("long").alias("predicted"), "precision", "recall", "f1")
 
 
-def weighted_prf(df: DataFrame, keys: Sequence[str] = (), label: str = "label", prediction: str = "prediction") -> DataFrame:
+def weighted_prf(df: DataFrame, keys: Sequence[str] = (), label: str = "label", prediction: str = "prediction",
+                 count_col: str | None = None) -> DataFrame:
     """Support-weighted precision / recall / F1 per key."""
-    pc = per_class(df, keys, label, prediction)
+    pc = per_class(df, keys, label, prediction, count_col)
     s = F.sum("support")
     return pc.groupBy(*keys).agg(
         (F.sum(F.col("support") * F.col("precision")) / s).alias("precision"),
@@ -64,7 +70,7 @@ def classification_report(df: DataFrame, keys: Sequence[str] = (), label: str =
                           prediction: str = "prediction", include_accuracy: bool = True) -> DataFrame:
     """Per-class rows plus accuracy, macro avg and weighted avg: (keys..., class, precision, recall, f1, support)."""
     keys = list(keys)
-    pc = per_class(df, keys, label, prediction)
+    pc = per_class(df, keys, label, prediction).persist()  # tiny (keys x classes), read four times
     rows = pc.select(*keys, F.col("class").cast("string").alias("class"), "precision", "recall", "f1", "support")
     tot = F.sum("support")
     macro = pc.groupBy(*keys).agg(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"),
@@ -85,15 +91,17 @@ def classification_report(df: DataFrame, keys: Sequence[str] = (), label: str =
 # ---------------------------------------------------------------- E3 / E4
 
 def score_cumulative(df: DataFrame, keys: Sequence[str] = (), label: str = "label", score: str = "score",
-                     buckets: int = 64) -> DataFrame:
+                     buckets: int = 64, count_col: str | None = None) -> DataFrame:
     """Per key and distinct score: pos, neg and the running counts tp / fp of rows with score >= s.
 
     Also P / N totals per key and the bucket id ``b``. Exact at any scale: windows run per
     (key, score bucket), and a small (key, bucket) table supplies the offsets of higher buckets.
     """
     keys = list(keys)
+    w = F.col(count_col).cast("long") if count_col else F.lit(1).cast("long")
     d = df.groupBy(*keys, qcol(score).cast("double").alias("s")).agg(
-        F.sum((qcol(label) == 1).cast("long")).alias("pos"), F.sum((qcol(label) != 1).cast("long")).alias("neg"))
+        F.sum(F.when(qcol(label) == 1, w).otherwise(0)).alias("pos"),
+        F.sum(F.when(qcol(label) != 1, w).otherwise(0)).alias("neg")).persist()  # read by the sketch and the windows
     if buckets > 1:
         probs = [i / buckets for i in range(1, buckets)]
         qs = d.agg(F.percentile_approx("s", probs, 10000).alias("q")).first()["q"] or []
@@ -116,10 +124,10 @@ def score_cumulative(df: DataFrame, keys: Sequence[str] = (), label: str = "labe
 
 
 def roc_auc(df: DataFrame, keys: Sequence[str] = (), label: str = "label", score: str = "score",
-            buckets: int = 64) -> DataFrame:
+            buckets: int = 64, count_col: str | None = None) -> DataFrame:
     """Exact ROC AUC per key (ties count ½); null when only one class is present."""
     keys = list(keys)
-    c = score_cumulative(df, keys, label, score, buckets)
+    c = score_cumulative(df, keys, label, score, buckets, count_col)
     num = F.col("pos") * (F.col("N") - F.col("fp") + 0.5 * F.col("neg"))
     agg = c.groupBy(*keys).agg(F.sum(num).alias("num"), F.first("P").alias("P"), F.first("N").alias("N"))
     auc = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("num") / (F.col("P") * F.col("N")))
@@ -164,6 +172,9 @@ def evaluate_models(scored: DataFrame, keys: Sequence[str] = ("model", "method")
                     prediction: str = "prediction", score: str = "score") -> DataFrame:
     """Weighted precision / recall / F1 and exact AUC for every key in one pass over the scored table."""
     keys = list(keys)
-    prf = weighted_prf(scored, keys, label, prediction)
-    auc = roc_auc(scored, keys, label, score)
+    # one pass over the scored rows: everything else runs on (key, label, prediction, score) counts
+    agg = scored.groupBy(*keys, qcol(label).alias(label), qcol(prediction).alias(prediction),
+                         qcol(score).alias(score)).agg(F.count(F.lit(1)).alias("__n")).persist()
+    prf = weighted_prf(agg, keys, label, prediction, count_col="__n")
+    auc = roc_auc(agg, keys, label, score, count_col="__n")
     return prf.join(auc, keys, "left")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +64,9 @@ def rank_cutoffs(df: DataFrame, label: str, h: Column, targets: Mapping, counts:
     todo = [(c, r) for c, ranks in targets.items() for r in sorted(set(ranks)) if 0 < r <= counts[c]]
     if not todo:
         return {}
-    base = df.select(qcol(label).alias("__cls"), h.alias("__h")).withColumn("__u", _u_of(F.col("__h")))
+    # (class, hash, u) is read by every counting round and the band pass: hash once, keep it
+    base = (df.select(qcol(label).alias("__cls"), h.alias("__h")).withColumn("__u", _u_of(F.col("__h")))
+            .persist(StorageLevel.MEMORY_AND_DISK))
     widen = {t: 1.0 for t in todo}
     found: dict = {}
     for _ in range(max_rounds):
@@ -105,6 +108,7 @@ def rank_cutoffs(df: DataFrame, label: str, h: Column, targets: Mapping, counts:
         todo = [t for t in todo if t not in found]
         if not todo:
             break
+    base.unpersist()
     if todo:
         raise RuntimeError(f"rank cutoffs not found for {todo}")
     return found

@@ -78,33 +78,38 @@ def orders_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- deterministic scored table for the metric operators ---------------------------------------
 # Three synthetic "models" whose scores blend the planted label with md5 uniforms; scores are floored
-# to 2 decimals so ties occur. split: 80 % validation / 20 % test by another md5 uniform.
+# to 2 decimals so ties occur. split: 80 % validation / 20 % test. One md5 per row supplies all four
+# uniforms (its four 8-hex-digit slices).
 
-def _u_sql(seed: int) -> str:
-    return f"(CAST(('0x' || substr(md5(row_id || ':{seed}'), 1, 8)) AS UBIGINT) / 4294967296.0)"
+def _u_sql(slot: int) -> str:
+    return f"(CAST(('0x' || substr(md5(row_id || ':1'), {1 + 8 * slot}, 8)) AS UBIGINT) / 4294967296.0)"
 
 
 SCORED_SQL = f"""(SELECT model, method, row_id, y AS label, split, score,
     CAST(score >= 0.5 AS INTEGER) AS prediction
   FROM (
-    SELECT row_id, y, CASE WHEN {_u_sql(9)} < 0.8 THEN 'validation' ELSE 'test' END AS split,
-      floor((0.6 * y + 0.4 * {_u_sql(1)}) * 100) / 100 AS s1,
-      floor((0.3 * y + 0.7 * {_u_sql(2)}) * 100) / 100 AS s2,
-      floor({_u_sql(3)} * 100) / 100 AS s3
+    SELECT row_id, y, CASE WHEN {_u_sql(3)} < 0.8 THEN 'validation' ELSE 'test' END AS split,
+      floor((0.6 * y + 0.4 * {_u_sql(0)}) * 100) / 100 AS s1,
+      floor((0.3 * y + 0.7 * {_u_sql(1)}) * 100) / 100 AS s2,
+      floor({_u_sql(2)} * 100) / 100 AS s3
     FROM {PLANTED_SQL} p0) b,
   LATERAL (VALUES ('m1', 'random_search', s1), ('m2', 'random_search', s2), ('m3', 'holdout', s3)) AS v(model, method, score))"""
 
 
 def scored_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tabula.functions.expr import uniform01
+    from tabula.functions.expr import hash_key
 
     p = planted(spark, sf_dir)
     y = F.col("y")
-    s1 = F.floor((0.6 * y + 0.4 * uniform01("row_id", 1)) * 100) / 100
-    s2 = F.floor((0.3 * y + 0.7 * uniform01("row_id", 2)) * 100) / 100
-    s3 = F.floor(uniform01("row_id", 3) * 100) / 100
+    h = hash_key("row_id", 1)
+
+    def u(slot):
+        return F.conv(F.substring(h, 1 + 8 * slot, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    s1 = F.floor((0.6 * y + 0.4 * u(0)) * 100) / 100
+    s2 = F.floor((0.3 * y + 0.7 * u(1)) * 100) / 100
+    s3 = F.floor(u(2) * 100) / 100
     base = p.select("row_id", y.alias("label"),
-                    F.when(uniform01("row_id", 9) < 0.8, F.lit("validation")).otherwise(F.lit("test")).alias("split"),
+                    F.when(u(3) < 0.8, F.lit("validation")).otherwise(F.lit("test")).alias("split"),
                     F.array(F.struct(F.lit("m1").alias("model"), F.lit("random_search").alias("method"), s1.alias("score")),
                             F.struct(F.lit("m2").alias("model"), F.lit("random_search").alias("method"), s2.alias("score")),
                             F.struct(F.lit("m3").alias("model"), F.lit("holdout").alias("method"), s3.alias("score"))).alias("m"))
