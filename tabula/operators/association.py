@@ -125,23 +125,23 @@ def cramers_from_cells(cells: DataFrame, keys: Sequence[str], a: str = "a", b: s
     max(|O − E| − ½, 0)² · n · Σ1/r · Σ1/c. dof = 0 gives chi² = 0 and V = null (0/0).
     """
     keys = list(keys)
-    rows = cells.groupBy(*keys, a).agg(F.sum(count).alias("ra"))
-    cols = cells.groupBy(*keys, b).agg(F.sum(count).alias("cb"))
-    rstat = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.sum(1.0 / F.col("ra")).alias("inv_r"),
-                                    F.sum("ra").alias("n"))
-    cstat = cols.groupBy(*keys).agg(F.count(F.lit(1)).alias("r"), F.sum(1.0 / F.col("cb")).alias("inv_c"))
-    e = F.col("ra") * F.col("cb") / F.col("n")
-    terms = (cells.join(rows, keys + [a]).join(cols, keys + [b]).join(rstat.select(*keys, "n"), keys)
-             .select(*keys, (F.col(count) * F.col(count) / e).alias("t"), F.abs(F.col(count) - e).alias("d")))
-    per = terms.groupBy(*keys).agg(F.sum("t").alias("s"), F.max("d").alias("d"))
+    rows = cells.groupBy(*keys, a).agg(F.sum(count).alias("__ra"))
+    cols = cells.groupBy(*keys, b).agg(F.sum(count).alias("__cb"))
+    rstat = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nk"), F.sum(1.0 / F.col("__ra")).alias("__ir"),
+                                    F.sum("__ra").alias("__n"))
+    cstat = cols.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nr"), F.sum(1.0 / F.col("__cb")).alias("__ic"))
+    e = F.col("__ra") * F.col("__cb") / F.col("__n")
+    terms = (cells.join(rows, keys + [a]).join(cols, keys + [b]).join(rstat.select(*keys, "__n"), keys)
+             .select(*keys, (F.col(count) * F.col(count) / e).alias("__t"), F.abs(F.col(count) - e).alias("__d")))
+    per = terms.groupBy(*keys).agg(F.sum("__t").alias("__s"), F.max("__d").alias("__d"))
     j = per.join(rstat, keys).join(cstat, keys)
-    dof = (F.col("k") - 1) * (F.col("r") - 1)
+    dof = (F.col("__nk") - 1) * (F.col("__nr") - 1)
     chi2 = (F.when(dof == 0, F.lit(0.0))
-            .when(dof == 1, F.pow(F.greatest(F.col("d") - 0.5, F.lit(0.0)), 2) * F.col("n") * F.col("inv_r") * F.col("inv_c"))
-            .otherwise(F.col("s") - F.col("n")))
-    den = F.col("n") * (F.least(F.col("k"), F.col("r")) - 1)
+            .when(dof == 1, F.pow(F.greatest(F.col("__d") - 0.5, F.lit(0.0)), 2) * F.col("__n") * F.col("__ir") * F.col("__ic"))
+            .otherwise(F.col("__s") - F.col("__n")))
+    den = F.col("__n") * (F.least(F.col("__nk"), F.col("__nr")) - 1)
     v = F.when(den > 0, F.sqrt(F.greatest(chi2, F.lit(0.0)) / den))
-    return j.select(*keys, chi2.alias("chi2"), v.alias("cramers_v"), F.col("n").cast("long").alias("n"))
+    return j.select(*keys, chi2.alias("chi2"), v.alias("cramers_v"), F.col("__n").cast("long").alias("n"))
 
 
 def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
