@@ -52,10 +52,12 @@ def unknown_values_replace(df: DataFrame, keep: Sequence[str] = (), modes: Mappi
 
 def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict:
     """Exact medians (``percentile`` 0.5 with interpolation)."""
+    from tabula.operators.profile import exact_quantiles
+
     if not cols:
         return {}
-    row = df.agg(*[F.median(qcol(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    q = exact_quantiles(df, list(cols), (0.5,))
+    return {c: q[c][0] for c in cols}
 
 
 def apply_medians(df: DataFrame, medians: Mapping) -> DataFrame:

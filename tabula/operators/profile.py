@@ -7,7 +7,9 @@ Spark, so nothing but k-row results ever reaches the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +52,102 @@ def quantiles(x: Column, probs: Sequence[float], approx: bool = False, accuracy:
     return F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
 
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 100000,
+                    map_limit: int = 100_000) -> dict:
+    """Exact linear-interpolation quantiles {column: [value per prob]}, safe for any column cardinality.
+
+    ``percentile`` merges a value -> count map of the whole column in one task: fine up to a few
+    million distinct values, fatal for a continuous column of a very large table. So:
+
+    1. one cheap aggregate: count, min, max and an HLL distinct estimate per column;
+    2. one aggregate: ``percentile`` for columns under ``map_limit`` distinct values, and a quantile
+       sketch (rank error <= n / accuracy) bracketing every needed rank for the others;
+    3. (large columns only) one aggregate counting rows below / inside each bracket, then only the
+       bracket rows (~6 n / accuracy per target) are grouped by value and ranked per target by a window;
+       two values per target reach the driver.
+    """
+    spark = df.sparkSession
+    xs = {c: clean_numeric(df, c) for c in cols}
+    result = {c: [None] * len(probs) for c in cols}
+    st = df.agg(*[F.struct(F.count(xs[c]).alias("n"), F.min(xs[c]).alias("lo"), F.max(xs[c]).alias("hi"),
+                           F.approx_count_distinct(xs[c], 0.05).alias("ndv")).alias(f"s{i}")
+                  for i, c in enumerate(cols)]).first()
+    small = [i for i, c in enumerate(cols) if st[f"s{i}"]["n"] and st[f"s{i}"]["ndv"] <= map_limit]
+    large = [i for i, c in enumerate(cols) if st[f"s{i}"]["n"] and st[f"s{i}"]["ndv"] > map_limit]
+    delta = 3.0 / accuracy
+    probe = sorted({min(1.0, max(0.0, round(p + sg * delta, 12))) for p in probs for sg in (-1, 1)})
+    aggs = [F.percentile(xs[cols[i]], F.array(*[F.lit(float(p)) for p in probs])).alias(f"p{i}") for i in small]
+    aggs += [F.percentile_approx(xs[cols[i]], probe, accuracy).alias(f"q{i}") for i in large]
+    if not aggs:
+        return result
+    row = df.agg(*aggs).first()
+    for i in small:
+        result[cols[i]] = list(row[f"p{i}"])
+    targets = []  # (column index, prob index, k, frac, lo, hi, n)
+    for i in large:
+        n, mn, mx = int(st[f"s{i}"]["n"]), st[f"s{i}"]["lo"], st[f"s{i}"]["hi"]
+        sk = dict(zip(probe, row[f"q{i}"]))
+        for j, p in enumerate(probs):
+            pos = p * (n - 1)
+            k = int(math.floor(pos))
+            lo = mn if p - delta <= 0 else sk[min(1.0, max(0.0, round(p - delta, 12)))]
+            hi = mx if p + delta >= 1 else sk[min(1.0, max(0.0, round(p + delta, 12)))]
+            targets.append((i, j, k, pos - k, float(lo), float(hi), n))
+    if not targets:
+        return result
+    row = {f"lo{i}": st[f"s{i}"]["lo"] for i in large} | {f"hi{i}": st[f"s{i}"]["hi"] for i in large}
+    # pass 2: verify each bracket holds ranks k and k+1; widen to [min, max] where it does not
+    def counts(ts):
+        ag = []
+        for t, (i, _j, _k, _f, lo, hi, _n) in enumerate(ts):
+            x = xs[cols[i]]
+            ag += [F.sum((x < lo).cast("long")).alias(f"b{t}"), F.sum(((x >= lo) & (x <= hi)).cast("long")).alias(f"w{t}")]
+        return df.agg(*ag).first()
+    cnt = counts(targets)
+    fixed = []
+    for t, (i, j, k, f, lo, hi, n) in enumerate(targets):
+        b, w = int(cnt[f"b{t}"] or 0), int(cnt[f"w{t}"] or 0)
+        last = min(k + 1, n - 1)
+        if not (b <= k and last < b + w):
+            lo, hi = float(row[f"lo{i}"]), float(row[f"hi{i}"])
+            b = 0
+        fixed.append((i, j, k, f, lo, hi, n, b))
+    # pass 3: bracket rows only, grouped by (column, value) so ties collapse map-side, then matched
+    # to their targets by an equi-join on the column id (<= len(probs) targets per column)
+    by_col: dict = {}
+    for t, (i, _j, _k, _f, lo, hi, _n, _b) in enumerate(fixed):
+        by_col.setdefault(i, []).append((lo, hi))
+    vals = None
+    for i, rng in by_col.items():
+        inside = reduce(lambda a, c: a | c, [(xs[cols[i]] >= lo) & (xs[cols[i]] <= hi) for lo, hi in rng])
+        v = df.where(inside).groupBy(xs[cols[i]].alias("x")).count().withColumn("ci", F.lit(i))
+        vals = v if vals is None else vals.unionByName(v)
+    tt = spark.createDataFrame([(t, i, lo, hi) for t, (i, _j, _k, _f, lo, hi, _n, _b) in enumerate(fixed)],
+                               "t int, ci int, lo double, hi double")
+    band = (vals.join(F.broadcast(tt), "ci")  # targets: a parameter-sized table (columns x probs)
+            .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).select("t", "x", "count"))
+    w = Window.partitionBy("t").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    band = band.withColumn("cum", F.sum("count").over(w)).withColumn("before", F.col("cum") - F.col("count"))
+    need = []
+    for t, (_i, _j, k, _f, _lo, _hi, n, b) in enumerate(fixed):
+        for r in {k - b, min(k + 1, n - 1) - b}:
+            need.append((F.col("t") == t) & (F.col("before") <= r) & (F.lit(r) < F.col("cum")))
+    picked = band.where(reduce(lambda a, c: a | c, need)).select("t", "x", "before", "cum").collect()
+    at = {}
+    for r in picked:
+        at.setdefault(r["t"], []).append((r["before"], r["cum"], r["x"]))
+    for t, (i, j, k, f, _lo, _hi, n, b) in enumerate(fixed):
+        def value(rank):
+            for before, cum, x in at.get(t, []):
+                if before <= rank - b < cum:
+                    return float(x)
+            return None
+        v0 = value(k)
+        v1 = value(min(k + 1, n - 1))
+        result[cols[i]][j] = v0 if (f == 0 or v1 is None) else v0 + (v1 - v0) * f
+    return result
+
+
 # ---------------------------------------------------------------- A1 / A2
 
 def shape_types(df: DataFrame) -> DataFrame:
@@ -64,18 +162,26 @@ def shape_types(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """count, mean, sample std, min, 25/50/75 %, max per numeric column, long form; one aggregate."""
+    """count, mean, sample std, min, 25/50/75 %, max per numeric column, long form.
+
+    One aggregate for the moments; quartiles from ``exact_quantiles`` (or the sketch with ``approx``),
+    injected as literals (3 numbers per column)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
         x = clean_numeric(df, c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 quantiles(x, (0.25, 0.5, 0.75), approx).alias(f"q{i}")]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if approx:
+            aggs.append(quantiles(x, (0.25, 0.5, 0.75), True).alias(f"q{i}"))
+    qv = {} if approx else exact_quantiles(df, cols, (0.25, 0.5, 0.75))
+
+    def q(i, c, j):
+        return F.col(f"q{i}")[j] if approx else F.lit(qv[c][j]).cast("double")
     structs = [
         F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
                  F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
-                 F.col(f"q{i}")[0].alias("p25"), F.col(f"q{i}")[1].alias("p50"), F.col(f"q{i}")[2].alias("p75"),
+                 q(i, c, 0).alias("p25"), q(i, c, 1).alias("p50"), q(i, c, 2).alias("p75"),
                  F.col(f"hi{i}").alias("max"))
         for i, c in enumerate(cols)
     ]
@@ -204,12 +310,16 @@ def skew_kurtosis(df: DataFrame, features: Sequence[str], digits: int = 3) -> Da
 
 def percentiles(df: DataFrame, features: Sequence[str], probs: Sequence[float] = PERCENTILES,
                 approx: bool = False) -> DataFrame:
-    """(feature, p1, p5, ..., p99) with linear interpolation; one aggregate for all features."""
-    aggs = [quantiles(clean_numeric(df, c), probs, approx).alias(f"q{i}") for i, c in enumerate(features)]
+    """(feature, p1, p5, ..., p99) with linear interpolation (exact unless ``approx``)."""
     names = [f"p{round(p * 100)}" for p in probs]
-    structs = [F.struct(F.lit(c).alias("feature"), *[F.col(f"q{i}")[j].alias(n) for j, n in enumerate(names)])
-               for i, c in enumerate(features)]
-    return df.agg(*aggs).select(long_from_structs(structs))
+    if approx:
+        aggs = [quantiles(clean_numeric(df, c), probs, True).alias(f"q{i}") for i, c in enumerate(features)]
+        structs = [F.struct(F.lit(c).alias("feature"), *[F.col(f"q{i}")[j].alias(n) for j, n in enumerate(names)])
+                   for i, c in enumerate(features)]
+        return df.agg(*aggs).select(long_from_structs(structs))
+    qv = exact_quantiles(df, features, probs)
+    schema = "feature string, " + ", ".join(f"{n} double" for n in names)
+    return df.sparkSession.createDataFrame([(c, *[None if v is None else float(v) for v in qv[c]]) for c in features], schema)
 
 
 def iqr(df: DataFrame, features: Sequence[str], approx: bool = False) -> DataFrame:
