@@ -371,16 +371,32 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = 30) -> DataFra
             .select("feature", "bin", "bin_lo", "bin_hi", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 
-def box_stats(df: DataFrame, value: str, by: str, whisker: float = 1.5) -> DataFrame:
-    """Box-plot numbers per class: quartiles, whiskers at the extreme datum within 1.5 IQR, outliers."""
+def box_stats(df: DataFrame, value: str, by: str, whisker: float = 1.5, max_groups: int = 1000) -> DataFrame:
+    """Box-plot numbers per class: quartiles, whiskers at the extreme datum within 1.5 IQR, outliers.
+
+    Quartiles per group come from ``exact_quantiles`` on one masked column per group (the group count
+    is bounded by ``max_groups``: a class column), so a hot class is never one value map in one task;
+    the whiskers and outlier counts are then one grouped aggregate with the fences as literals."""
     x = clean_numeric(df, value)
     base = df.select(qcol(by).alias("group"), x.alias("v")).where(F.col("v").isNotNull())
-    q = base.groupBy("group").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select("group", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    q = q.withColumn("lo_fence", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
-         .withColumn("hi_fence", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
-    # one row per group: AQE turns this into a broadcast join after checking its real size
-    j = base.join(q, "group")
+    groups = [r[0] for r in base.select("group").distinct().limit(max_groups + 1).collect()]
+    if len(groups) > max_groups:
+        raise ValueError(f"box_stats: more than {max_groups} groups in {by!r}")
+    masked = base.select(*[F.when(F.col("group") == F.lit(g), F.col("v")).alias(f"g{i}") for i, g in enumerate(groups)])
+    qv = exact_quantiles(masked, [f"g{i}" for i in range(len(groups))], (0.25, 0.5, 0.75))
+    fences = {}
+    for i, g in enumerate(groups):
+        q1, med, q3 = qv[f"g{i}"]
+        fences[g] = (q1, med, q3, q1 - whisker * (q3 - q1), q3 + whisker * (q3 - q1))
+
+    def lit_by_group(k):
+        e = None
+        for g, f in fences.items():
+            cond = F.col("group") == F.lit(g)
+            e = F.when(cond, F.lit(f[k])) if e is None else e.when(cond, F.lit(f[k]))
+        return e
+    j = base.withColumn("q1", lit_by_group(0)).withColumn("median", lit_by_group(1)).withColumn("q3", lit_by_group(2))
+    j = j.withColumn("lo_fence", lit_by_group(3)).withColumn("hi_fence", lit_by_group(4))
     inside = (F.col("v") >= F.col("lo_fence")) & (F.col("v") <= F.col("hi_fence"))
     return j.groupBy("group", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("v"))).alias("whisker_lo"),
