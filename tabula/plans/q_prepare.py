@@ -497,3 +497,14 @@ def q_cv_summary(spark, sf):
     v = _val(spark, sf).withColumn("fold", F.floor(uniform01("row_id", 5) * 5).cast("int"))
     per_fold = metrics.weighted_prf(v, ["model", "fold"])
     return rounded(cv_summary(per_fold, ["model"]))
+
+
+@register("attach_predictions", f"""
+SELECT p.row_id, round(p.l_quantity, 6) AS l_quantity, round(p.l_discount, 6) AS l_discount, v.label, v.prediction,
+  round(v.score, 6) AS score
+FROM {PLANTED_SQL} p JOIN (SELECT * FROM {_VAL} s WHERE model = 'm1') v ON p.row_id = v.row_id""")
+def q_attach_predictions(spark, sf):
+    """J1: predictions re-attached to their feature rows by key (an explicit row_id equi-join)."""
+    preds = _val(spark, sf).where(F.col("model") == "m1").select("row_id", "label", "prediction", "score")
+    feats = planted(spark, sf).select("row_id", "l_quantity", "l_discount")
+    return rounded(feats.join(preds, "row_id"))
