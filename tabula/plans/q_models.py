@@ -225,7 +225,7 @@ def _perm_sql() -> str:
                    f"THEN 1.0 ELSE 0.0 END) AS acc FROM j GROUP BY rep")
     return f"""
 WITH p AS {PLANTED_SQL},
-pos AS (SELECT row_id, y, {", ".join(feats)}, row_number() OVER (ORDER BY row_id) AS i FROM p),
+pos AS (SELECT row_id, y, {", ".join(feats)}, row_number() OVER (ORDER BY md5(row_id || ':42:base')) AS i FROM p),
 reps AS (SELECT CAST(range AS INTEGER) AS rep FROM range(10)),
 shuf AS (SELECT rep, {shuf_cols}, row_number() OVER (PARTITION BY rep ORDER BY md5(row_id || ':42:' || rep)) AS i
          FROM p, reps),
