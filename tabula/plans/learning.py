@@ -32,7 +32,9 @@ class Prepared:
 
 def prepare(spark: SparkSession, sf_dir: str, folds: int = 3, seed: int = 42) -> Prepared:
     """The shared preparation: one exact split, prep fitted on train rows only, balanced weights, folds."""
-    base = planted(spark, sf_dir).select("row_id", *NUMERIC, *CATEGORICAL, F.col("y").alias("label"))
+    # the projected table is read by the split's passes, every fit and the transform: scan it once
+    base = (planted(spark, sf_dir).select("row_id", *NUMERIC, *CATEGORICAL, F.col("y").alias("label"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
     base = split.three_way_split(base, "label", "row_id", 0.2, 0.2, seed).persist(StorageLevel.MEMORY_AND_DISK)
     train = base.where(F.col("split") == "train")
     model = prep.fit_prep(train, NUMERIC, CATEGORICAL)
