@@ -125,7 +125,7 @@ def knn_scores(train: DataFrame, test: DataFrame, k: int = 3, metric: str = "euc
 
 def stacking(train: DataFrame, valid: DataFrame, base: Mapping[str, object], fold_col: str = "fold",
              meta_C: float = 1.0, id_col: str = "row_id", features: str = "features", label: str = "label",
-             k_knn: int = 3) -> DataFrame:
+             k_knn: int = 3, parallelism: int = 4) -> DataFrame:
     """Stacked generalisation: out-of-fold class-1 probabilities of the base learners -> LR meta learner.
 
     ``base`` maps a name to a ``pyspark.ml`` estimator or the string ``"knn"``. Bases are refit on the
@@ -133,30 +133,47 @@ def stacking(train: DataFrame, valid: DataFrame, base: Mapping[str, object], fol
     """
     from pyspark.ml.feature import VectorAssembler
 
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import StorageLevel
+
     folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
+    names = [f"p_{n}" for n in base]
 
-    def base_scores(fit_df, apply_df):
-        cols = None
-        for name, est in base.items():
-            if est == "knn":
-                s = knn_scores(fit_df, apply_df, k_knn, id_col=id_col, features=features, label=label)
-            else:
-                s = score(est.fit(fit_df), apply_df, keep=(id_col,))
-            s = s.select(id_col, F.col("score").alias(f"p_{name}"))
-            cols = s if cols is None else cols.join(s, id_col)
-        return cols
+    def one(job):
+        """Fit one base learner on one fit set and materialise its class-1 scores (runs in a driver thread)."""
+        fold, name = job
+        fit_df = train if fold is None else train.where(F.col(fold_col) != fold)
+        apply_df = valid if fold is None else train.where(F.col(fold_col) == fold)
+        est = base[name]
+        if est == "knn":
+            s = knn_scores(fit_df, apply_df, k_knn, id_col=id_col, features=features, label=label)
+        else:
+            s = score(est.fit(fit_df), apply_df, keep=(id_col,))
+        s = s.select(id_col, F.col("score").alias(f"p_{name}")).persist(StorageLevel.MEMORY_AND_DISK)
+        s.count()
+        return job, s
+
+    jobs = [(f, n) for f in [*folds, None] for n in base]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        done = dict(pool.map(one, jobs))
+
+    def joined(fold):
+        out = None
+        for n in base:
+            s = done[(fold, n)]
+            out = s if out is None else out.join(s, id_col)
+        return out
 
     oof = None
     for f in folds:
-        part = base_scores(train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f))
-        oof = part if oof is None else oof.unionByName(part)
-    names = [f"p_{n}" for n in base]
-    meta_in = oof.join(train.select(id_col, label), id_col)
-    meta_in = VectorAssembler(inputCols=names, outputCol="meta_x").transform(meta_in)
+        oof = joined(f) if oof is None else oof.unionByName(joined(f))
+    meta_in = VectorAssembler(inputCols=names, outputCol="meta_x").transform(
+        oof.join(train.select(id_col, label), id_col)).persist(StorageLevel.MEMORY_AND_DISK)
     n = meta_in.count()
     meta = LogisticRegression(featuresCol="meta_x", labelCol=label, regParam=1.0 / (meta_C * n), elasticNetParam=0.0,
                               standardization=False).fit(meta_in)
-    vs = base_scores(train, valid).join(valid.select(id_col, label), id_col)
+    vs = joined(None).join(valid.select(id_col, label), id_col)
     vs = VectorAssembler(inputCols=names, outputCol="meta_x").transform(vs)
     out = meta.transform(vs)
     return out.select(id_col, label, F.col("prediction").cast("int").alias("prediction"),
