@@ -53,7 +53,7 @@ def quantiles(x: Column, probs: Sequence[float], approx: bool = False, accuracy:
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 100000,
-                    map_limit: int = 100_000) -> dict:
+                    map_limit: int = 100_000, extra_aggs: Sequence[Column] = (), extra_out: dict | None = None) -> dict:
     """Exact linear-interpolation quantiles {column: [value per prob]}, safe for any column cardinality.
 
     ``percentile`` merges a value -> count map of the whole column in one task: fine up to a few
@@ -71,7 +71,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     result = {c: [None] * len(probs) for c in cols}
     st = df.agg(*[F.struct(F.count(xs[c]).alias("n"), F.min(xs[c]).alias("lo"), F.max(xs[c]).alias("hi"),
                            F.approx_count_distinct(xs[c], 0.05).alias("ndv")).alias(f"s{i}")
-                  for i, c in enumerate(cols)]).first()
+                  for i, c in enumerate(cols)], *extra_aggs).first()
+    if extra_out is not None:  # callers fuse their own one-row statistics into the first pass
+        extra_out.update(st.asDict())
     small = [i for i, c in enumerate(cols) if st[f"s{i}"]["n"] and st[f"s{i}"]["ndv"] <= map_limit]
     large = [i for i, c in enumerate(cols) if st[f"s{i}"]["n"] and st[f"s{i}"]["ndv"] > map_limit]
     delta = 3.0 / accuracy
@@ -164,8 +166,8 @@ def shape_types(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 %, max per numeric column, long form.
 
-    One aggregate for the moments; quartiles from ``exact_quantiles`` (or the sketch with ``approx``),
-    injected as literals (3 numbers per column)."""
+    Exact mode: the moments ride along in the first pass of ``exact_quantiles``; the k result rows are
+    built from those scalars. ``approx``: one aggregate with the quantile sketch."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
@@ -174,18 +176,23 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fa
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         if approx:
             aggs.append(quantiles(x, (0.25, 0.5, 0.75), True).alias(f"q{i}"))
-    qv = {} if approx else exact_quantiles(df, cols, (0.25, 0.5, 0.75))
-
-    def q(i, c, j):
-        return F.col(f"q{i}")[j] if approx else F.lit(qv[c][j]).cast("double")
-    structs = [
-        F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
-                 F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
-                 q(i, c, 0).alias("p25"), q(i, c, 1).alias("p50"), q(i, c, 2).alias("p75"),
-                 F.col(f"hi{i}").alias("max"))
-        for i, c in enumerate(cols)
-    ]
-    return df.agg(*aggs).select(long_from_structs(structs))
+    if approx:
+        structs = [
+            F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
+                     F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"q{i}")[0].alias("p25"),
+                     F.col(f"q{i}")[1].alias("p50"), F.col(f"q{i}")[2].alias("p75"), F.col(f"hi{i}").alias("max"))
+            for i, c in enumerate(cols)]
+        return df.agg(*aggs).select(long_from_structs(structs))
+    mom: dict = {}
+    qv = exact_quantiles(df, cols, (0.25, 0.5, 0.75), extra_aggs=aggs, extra_out=mom)
+
+    def f(v):
+        return None if v is None else float(v)
+    rows = [(c, int(mom[f"n{i}"]), f(mom[f"m{i}"]), f(mom[f"s{i}"]), f(mom[f"lo{i}"]),
+             *[f(v) for v in qv[c]], f(mom[f"hi{i}"])) for i, c in enumerate(cols)]
+    schema = ("column_name string, count long, mean double, std double, min double, p25 double, p50 double, "
+              "p75 double, max double")
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 # ---------------------------------------------------------------- A3 / A4 / A5 / A6
