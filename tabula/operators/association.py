@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +126,8 @@ def cramers_from_cells(cells: DataFrame, keys: Sequence[str], a: str = "a", b: s
     max(|O − E| − ½, 0)² · n · Σ1/r · Σ1/c. dof = 0 gives chi² = 0 and V = null (0/0).
     """
     keys = list(keys)
+    # the cells (one row per non-zero contingency cell) feed five branches: compute them once
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     rows = cells.groupBy(*keys, a).agg(F.sum(count).alias("__ra"))
     cols = cells.groupBy(*keys, b).agg(F.sum(count).alias("__cb"))
     rstat = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nk"), F.sum(1.0 / F.col("__ra")).alias("__ir"),

@@ -39,7 +39,7 @@ def per_class(df: DataFrame, keys: Sequence[str] = (), label: str = "label", pre
     """
     keys = list(keys)
     n = F.sum(count_col) if count_col else F.count(F.lit(1))
-    cm = df.groupBy(*keys, qcol(label).alias("__l"), qcol(prediction).alias("__p")).agg(n.alias("count"))
+    cm = df.groupBy(*keys, qcol(label).alias("__l"), qcol(prediction).alias("__p")).agg(n.alias("count")).persist()
     sup = cm.groupBy(*keys, F.col("__l").alias("class")).agg(
         F.sum("count").alias("support"), F.sum(F.when(F.col("__l") == F.col("__p"), F.col("count")).otherwise(0)).alias("tp"))
     prd = cm.groupBy(*keys, F.col("__p").alias("class")).agg(F.sum("count").alias("predicted"))
