@@ -34,11 +34,31 @@ def smote_prepared(df, k: int = 5, seed: int = 42):
 
 # ---------------------------------------------------------------- F7 / F8 / E1
 
-@register("assemble_features")
+def _assemble_sql() -> str:
+    from tabula.plans.q_prepare import _RANK, _alloc_sql
+    return f"""
+WITH p AS {PLANTED_SQL}, cnt AS (SELECT y, count(*) AS n_c FROM p GROUP BY y),
+a1 AS {_alloc_sql('cnt', 'n_c', 0.2, 'test_c')},
+rest AS (SELECT y, n_c - test_c AS m_c, test_c FROM cnt JOIN a1 USING (y)),
+a2 AS {_alloc_sql('rest', 'm_c', 0.2, 'val_c')},
+r AS (SELECT row_id, y, l_returnflag, l_linestatus, {_RANK} AS rk, test_c, val_c FROM p JOIN rest USING (y) JOIN a2 USING (y)),
+s AS (SELECT *, CASE WHEN rk <= test_c THEN 'test' WHEN rk <= test_c + val_c THEN 'validation' ELSE 'train' END AS split FROM r),
+tc AS (SELECT y, count(*) AS n_t FROM s WHERE split = 'train' GROUP BY y),
+tt AS (SELECT sum(n_t) AS n_all, count(*) AS k FROM tc),
+nf AS (SELECT CAST(4 + count(DISTINCT l_returnflag) + count(DISTINCT l_linestatus) AS INTEGER) AS n_features
+       FROM s WHERE split = 'train')
+SELECT row_id, y AS label, split,
+  CASE WHEN split = 'train' THEN CAST(floor((rk - test_c - val_c - 1) * 3 / n_t) AS INTEGER) ELSE -1 END AS fold,
+  round(CASE WHEN split = 'train' THEN n_all / (k * n_t) ELSE 1.0 END, 6) AS weight, n_features
+FROM s JOIN tc USING (y), tt, nf"""
+
+
+@register("assemble_features", _assemble_sql())
 def q_assemble_features(spark, sf):
+    """the assembled training table (split, folds, balanced weights, feature-vector width)."""
     p = prepare(spark, sf)
-    return p.data.select("row_id", "label", "split", "fold", "weight",
-                         F.size(vector_to_array("features")).alias("n_features"))
+    return rounded(p.data.select("row_id", "label", "split", "fold", "weight",
+                                 F.size(vector_to_array("features")).alias("n_features")))
 
 
 @register("pipeline_fit_score")
