@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tabula.operators import explain, metrics, models, report, resample, search
+from tabula.plans import q_prepare  # noqa: F401  (registered first: its oracles are reused below)
 from tabula.plans.fixtures import PLANTED_SQL, planted
 from tabula.plans.learning import prepare
 from tabula.plans.registry import register, rounded
@@ -313,7 +314,15 @@ def q_explain_row(spark, sf):
 
 # ---------------------------------------------------------------- S4
 
-@register("write_report")
+def _write_report_sql() -> str:
+    from tabula.plans.registry import ORACLE
+    parts = [f"SELECT '{t}' AS \"table\", count(*) AS rows FROM ({ORACLE[q]}) x"
+             for t, q in (("summary", "summary_table"), ("roc_curves", "roc_curves_all"),
+                          ("reports", "reports_all"), ("test_report", "test_report"))]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("write_report", _write_report_sql())
 def q_write_report(spark, sf):
     """The report sink: the four report tables written as Parquet to the shared scratch folder, read back."""
     from tabula.plans.fixtures import scored_fixture
