@@ -180,10 +180,12 @@ def three_way_split(df: DataFrame, label: str, key: str, test_size: float = 0.2,
     return df.withColumn(out, out_expr)
 
 
-def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
+def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, out: str = "fold",
+                     counts: Mapping | None = None) -> DataFrame:
     """Fold id = floor((rank - 1) * k / n_class) for the hash rank inside each class: every fold holds
-    each class's count split as evenly as possible (sizes differ by at most one)."""
-    counts = class_counts(df, label)
+    each class's count split as evenly as possible (sizes differ by at most one).
+    ``counts``: class counts when the caller already has them (saves a pass)."""
+    counts = dict(counts) if counts is not None else class_counts(df, label)
     h = hash_key(qcol(key), seed)
     targets = {c: [_ceil_div((j + 1) * counts[c], k) for j in range(k - 1)] for c in counts}
     cut = rank_cutoffs(df, label, h, targets, counts)
@@ -210,9 +212,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("weight", F.sum("count").over(w) / (F.count(F.lit(1)).over(w) * F.col("count")))
 
 
-def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+def with_class_weights(df: DataFrame, label: str, out: str = "weight", counts: Mapping | None = None) -> DataFrame:
     """Attach balanced weights as a literal map (k classes; no join)."""
-    counts = class_counts(df, label)
+    counts = dict(counts) if counts is not None else class_counts(df, label)
     n, k = sum(counts.values()), len(counts)
     m = F.create_map(*[x for c, v in counts.items() for x in (F.lit(c), F.lit(n / (k * v)))])
     return df.withColumn(out, m[qcol(label)])

@@ -40,9 +40,9 @@ def prepare(spark: SparkSession, sf_dir: str, folds: int = 3, seed: int = 42) ->
     model = prep.fit_prep(train, NUMERIC, CATEGORICAL)
     data = model.transform(base)
     tr = data.where(F.col("split") == "train")
-    tr = split.stratified_kfold(tr, "label", "row_id", folds, seed)
-    tr = split.with_class_weights(tr, "label")
-    counts = split.class_counts(data.where(F.col("split") == "train"), "label")
+    counts = split.class_counts(train, "label")  # one pass; reused by the folds and the weights
+    tr = split.stratified_kfold(tr, "label", "row_id", folds, seed, counts=counts)
+    tr = split.with_class_weights(tr, "label", counts=counts)
     other = (data.where(F.col("split") != "train").withColumn("fold", F.lit(-1))
              .withColumn("weight", F.lit(1.0)))
     cols = ["row_id", "label", "split", "fold", "weight", "features"]
