@@ -23,13 +23,23 @@ from tabula.functions.expr import UNKNOWN, qcol
 # ---------------------------------------------------------------- F1 / F2 / F5
 
 def fit_modes(df: DataFrame, cols: Sequence[str], sentinel: str | None = UNKNOWN) -> dict:
-    """Most frequent value per column (ties -> smallest); the sentinel counts as missing."""
+    """Most frequent value per column (ties -> smallest); the sentinel counts as missing.
+
+    All columns are counted in one grouped pass over (column, value) cells (partial aggregation
+    collapses hot values map-side), then ``min_by(value, (-count, value))`` per column: no per-column
+    value map is ever merged in one task. k values reach the driver."""
     if not cols:
         return {}
+
     def val(c):
-        return F.nullif(qcol(c), F.lit(sentinel)) if sentinel is not None else qcol(c)
-    row = df.agg(*[F.mode(val(c), deterministic=True).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(cols)}
+        v = qcol(c).cast("string")
+        return F.nullif(v, F.lit(sentinel)) if sentinel is not None else v
+    cells = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ci"), val(c).alias("v"))
+                                            for i, c in enumerate(cols)])).alias("e"))
+             .where(F.col("e.v").isNotNull()).groupBy("e.ci", "e.v").count())
+    best = cells.groupBy("ci").agg(F.min_by("v", F.struct((-F.col("count")).alias("n"), F.col("v"))).alias("mode"))
+    got = {r["ci"]: r["mode"] for r in best.collect()}
+    return {c: got.get(i) for i, c in enumerate(cols)}
 
 
 def apply_modes(df: DataFrame, modes: Mapping, sentinel: str | None = UNKNOWN) -> DataFrame:
