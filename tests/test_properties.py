@@ -96,3 +96,15 @@ def test_tree_shap_additive_and_gbt_learns(spark):
     assert len(j) > 0 and raw is not None
     for r in j:
         assert r.s + base == pytest.approx(r.m, abs=1e-6)
+
+
+def test_exact_quantiles_band_path_matches_percentile(spark):
+    """Force the sketch-bracketed path (map_limit=1) and compare with Spark's exact ``percentile``."""
+    from tabula.operators import profile
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    cols = ["l_extendedprice", "l_quantity", "l_discount"]
+    probs = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
+    got = profile.exact_quantiles(li, cols, probs, map_limit=1)
+    ref = li.agg(*[F.percentile(F.col(c).cast("double"), list(probs)).alias(c) for c in cols]).first()
+    for c in cols:
+        assert got[c] == pytest.approx(list(ref[c]), rel=1e-12, abs=1e-9)
