@@ -37,8 +37,9 @@ def test_knn_matches_brute_force(spark):
     qs = rng.normal(size=(40, 5))
     rdf = spark.createDataFrame([(i, v.tolist(), int(i % 3)) for i, v in enumerate(ref)], "r_id long, v array<double>, label int")
     qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)], "q_id long, v array<double>")
-    for metric in ("euclidean", "manhattan"):
-        got = neighbors.knn(qdf, rdf, 4, metric, cell_rows=16).collect()
+    for metric, block in (("euclidean", 8192), ("manhattan", 8192), ("euclidean", 5)):
+        # block=5 splits every 16-row cell into salted sub-blocks (the hot-cell path)
+        got = neighbors.knn(qdf, rdf, 4, metric, cell_rows=16, block_rows=block).collect()
         res = {}
         for r in got:
             res.setdefault(r.q_id, []).append((r["rank"], r.r_id))
