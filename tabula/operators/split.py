@@ -58,15 +58,26 @@ def split_allocation(counts: Mapping, test_size: float) -> dict:
     return {k: counts[k] - train[k] for k in counts}
 
 
+def hashed(df: DataFrame, label: str, h: Column) -> DataFrame:
+    """(class, hash, u) kept for the counting rounds and the band pass: the table is hashed once."""
+    return (df.select(qcol(label).alias("__cls"), h.alias("__h")).withColumn("__u", _u_of(F.col("__h")))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def hashed_counts(base: DataFrame) -> dict:
+    """{class: count} from a ``hashed`` table (materialises it: one scan of the source)."""
+    return {r[0]: int(r[1]) for r in base.groupBy("__cls").count().collect()}
+
+
 def rank_cutoffs(df: DataFrame, label: str, h: Column, targets: Mapping, counts: Mapping,
-                 max_rounds: int = 6) -> dict:
+                 max_rounds: int = 6, base: DataFrame | None = None) -> dict:
     """Exact order statistics of the hash per class: {(class, rank): hash at that rank (1-based)}."""
     todo = [(c, r) for c, ranks in targets.items() for r in sorted(set(ranks)) if 0 < r <= counts[c]]
     if not todo:
         return {}
-    # (class, hash, u) is read by every counting round and the band pass: hash once, keep it
-    base = (df.select(qcol(label).alias("__cls"), h.alias("__h")).withColumn("__u", _u_of(F.col("__h")))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    own = base is None
+    if own:
+        base = hashed(df, label, h)
     widen = {t: 1.0 for t in todo}
     found: dict = {}
     for _ in range(max_rounds):
@@ -108,7 +119,8 @@ def rank_cutoffs(df: DataFrame, label: str, h: Column, targets: Mapping, counts:
         todo = [t for t in todo if t not in found]
         if not todo:
             break
-    base.unpersist()
+    if own:
+        base.unpersist()
     if todo:
         raise RuntimeError(f"rank cutoffs not found for {todo}")
     return found
@@ -130,10 +142,12 @@ def _bucket_expr(label: str, h: Column, cutoffs: Mapping) -> Column:
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed: int = 42,
                      out: str = "split") -> DataFrame:
     """Exact stratified train/test split: per class the ``alloc`` first rows in hash order are 'test'."""
-    counts = class_counts(df, label)
-    alloc = split_allocation(counts, test_size)
     h = hash_key(qcol(key), seed)
-    cut = rank_cutoffs(df, label, h, {c: [alloc[c]] for c in counts}, counts)
+    base = hashed(df, label, h)
+    counts = hashed_counts(base)
+    alloc = split_allocation(counts, test_size)
+    cut = rank_cutoffs(df, label, h, {c: [alloc[c]] for c in counts}, counts, base=base)
+    base.unpersist()
     bucket = _bucket_expr(label, h, cut)
     # classes whose whole count goes to test have no boundary inside the class
     all_test = [c for c in counts if alloc[c] >= counts[c]]
@@ -149,13 +163,15 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2
 def three_way_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, val_size: float = 0.2,
                     seed: int = 42, out: str = "split") -> DataFrame:
     """Test = first ranks, validation = next ranks (the second split of the remaining rows), rest train."""
-    counts = class_counts(df, label)
+    h = hash_key(qcol(key), seed)
+    base = hashed(df, label, h)
+    counts = hashed_counts(base)
     test = split_allocation(counts, test_size)
     rest = {c: counts[c] - test[c] for c in counts}
     val = split_allocation(rest, val_size) if sum(rest.values()) else {c: 0 for c in counts}
-    h = hash_key(qcol(key), seed)
     targets = {c: [r for r in (test[c], test[c] + val[c]) if 0 < r < counts[c]] for c in counts}
-    cut = rank_cutoffs(df, label, h, targets, counts)
+    cut = rank_cutoffs(df, label, h, targets, counts, base=base)
+    base.unpersist()
     rank_bound = {}
     for c in counts:
         bounds = sorted(r for r in (test[c], test[c] + val[c]) if 0 < r < counts[c])
