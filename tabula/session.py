@@ -1,16 +1,19 @@
-"""Session helpers: a tuned local session for tests/bench and a shared scratch folder.
+"""Session helpers: a tuned local session for tests/bench and shared scratch tables.
 
-On a cluster the session comes from the platform; only ``scratch_dir`` is used there, and it
-reads ``spark.checkpoint.dir`` (a shared folder) from the session.
+On a cluster the session comes from the platform; only the scratch helpers are used there. They read
+``spark.checkpoint.dir`` (a folder that driver and executors share) and refuse to invent one.
 """
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "16g") -> SparkSession:
@@ -35,19 +38,43 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; set a private one only where none is configured."""
+    """The session's shared folder. Only a single-machine ``local`` master without one gets a private folder
+    (removed at exit); any other master must name it in ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="tabula-ckpt-")  # tests / local runs only
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tabula-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tabula-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique path under the shared folder for a written intermediate table."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabula-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    _written.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete every scratch table this session has written (their readers must be done); returns how many."""
+    mine = [p for s, p in _written if s is spark]
+    _written[:] = [(s, p) for s, p in _written if s is not spark]
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in mine:
+        target = jvm.org.apache.hadoop.fs.Path(p)
+        target.getFileSystem(conf).delete(target, True)
+    return len(mine)
