@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabula.llm import fingerprint, mixing, ngram_join, packing, quality, url_filter  # noqa: F401
+from tabula.llm import fingerprint, mixing, ngram_join, packing, quality, suffix_dedup, url_filter  # noqa: F401
 from tabula.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
