@@ -464,14 +464,13 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
 
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-p AS (SELECT doc_id, x, unnest(range(0, greatest(length(x) // 2 - {LENGTH - 1}, 0))) AS p FROM d),
-w AS (SELECT doc_id, p, row_number() OVER (PARTITION BY md5(substr(x, 2 * p + 1, {2 * LENGTH})) ORDER BY doc_id, p) > 1 AS again FROM p),
-b AS (SELECT doc_id, x, unnest(range(0, length(x) // 2)) AS p FROM d),
-c AS (SELECT b.doc_id, b.p, substr(b.x, 2 * b.p + 1, 2) AS h,
-        coalesce(sum(CASE WHEN w.again THEN 1 ELSE 0 END) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW), 0) > 0 AS gone
-      FROM b LEFT JOIN w ON b.doc_id = w.doc_id AND b.p = w.p),
-s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c),
-k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, sha256(unhex(coalesce(string_agg(h, '' ORDER BY p) FILTER (NOT gone), ''))) AS kept_sha256 FROM s GROUP BY doc_id)
+q AS (SELECT doc_id, k, substr(x, 2000 * k + 1, {2000 + 2 * LENGTH}) AS y, length(x) // 2 AS n FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2000 + 1)) AS k FROM d)),
+r AS (SELECT doc_id, 1000 * k + i AS p, substr(y, 2 * i + 1, 2) AS h, CASE WHEN 1000 * k + i + {LENGTH} <= n THEN md5(substr(y, 2 * i + 1, {2 * LENGTH})) END AS s
+      FROM (SELECT *, unnest(range(0, least(1000, n - 1000 * k))) AS i FROM q)),
+w AS (SELECT doc_id, p, h, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again FROM r),
+c AS (SELECT doc_id, p, h, sum(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) > 0 AS gone FROM w),
+o AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, sha256(unhex(coalesce(string_agg(h, '' ORDER BY p) FILTER (NOT gone), ''))) AS kept_sha256 FROM o GROUP BY doc_id)
 SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
        coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
