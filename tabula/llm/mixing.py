@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabula.functions.expr import uniform01
-from tabula.llm.common import DOC_COLUMNS, documents, register, word_count
+from tabula.llm.common import DOC_COLUMNS, documents, register, small, word_count
 from tabula.session import materialize
 
 MAX_REPEAT = 3
@@ -66,9 +66,10 @@ def mix_counts(sized: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed corpus itself: every document as many times as its rate says."""
+    """The mixed corpus itself: every document as many times as its rate says. The targets (a row per source) are
+    written out and counted, and broadcast while they are few, so that texts stay where they are."""
     d = docs.select(*DOC_COLUMNS)
-    t = targets(source_weights(with_sizes(d))).withColumnRenamed("source", "s")
+    t = small(materialize(targets(source_weights(with_sizes(d))).withColumnRenamed("source", "s"), "targets"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     n = copies(rate, F.col("doc_id")).cast("int")
     return (d.join(t, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copy", F.explode(F.array_repeat(F.lit(0), n))).select(*DOC_COLUMNS))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabula.llm.common import BLANKS, documents, register
+from tabula.llm.common import BLANKS, DOC_COLUMNS, documents, register, small
 from tabula.session import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -55,18 +55,21 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
             len(lines) - len(set(lines)), repeated, len(lines))
 
 
-def base_stats(docs: DataFrame) -> DataFrame:
-    """One row per document with the measures; the texts are read once and not shuffled."""
-    names = [x.split()[0] for x in STATS.split(", ")]
+def base_stats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """One row per document with the measures (and its text and n_chars); one scan, no shuffle."""
+    schema = STATS + ", text string, n_chars long" * keep_text
+    carried = ["text", "n_chars"] * keep_text
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [measure(t.as_py()) for t in b.column("text")]
             cols = [pa.array(c, pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * 6
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("source"), *cols], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("source"), *cols, *[b.column(c) for c in carried]], names)
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
-    return narrow.mapInArrow(run, STATS)
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"),
+                         *[F.col("n_chars").cast("long")] * keep_text)
+    return narrow.mapInArrow(run, schema)
 
 
 def bucket(v: Column) -> Column:
@@ -115,18 +118,30 @@ def thresholds(cells: DataFrame) -> DataFrame:
     return joined.groupBy("lang", "source").agg(*[pick(m, e) for m in SLACK for e in ("low", "high")])
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Per document: the measures, ``base_failed`` and ``kept``. Statistics go to a shared scratch table, since both
-    the sketches and the final join read them."""
-    rated = rates(materialize(base_stats(docs), "quality"))
-    limits = thresholds(sketch(rated)).withColumnsRenamed({"lang": "l", "source": "s"})
+def verdict(rated: DataFrame, limits: DataFrame) -> DataFrame:
+    """Joins the rated documents to their group's fences (a row per language and source) and adds ``kept``."""
+    limits = limits.withColumnsRenamed({"lang": "l", "source": "s"})
     ok = F.lit(True)
     for m in SLACK:
         ok = ok & F.coalesce(F.col(f"rate.{m}") <= F.col(f"{m}_high"), F.lit(True))
         if m in LOWER:
             ok = ok & F.coalesce(F.col(f"rate.{m}") >= F.col(f"{m}_low"), F.lit(True))
     joined = rated.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ok).alias("kept"))
+    return joined.withColumn("kept", ~F.col("base_failed") & ok)
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """Per document: the measures, ``base_failed`` and ``kept``. Statistics go to a shared scratch table, since both
+    the sketches and the final join read them."""
+    rated = rates(materialize(base_stats(docs), "quality"))
+    return verdict(rated, thresholds(sketch(rated))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents that pass. Texts are scanned twice (sketches, then the filter) rather than shuffled: the fences are
+    written out and counted, and broadcast while they are few."""
+    limits = materialize(thresholds(sketch(rates(base_stats(docs)))), "fences")
+    return verdict(rates(base_stats(docs, keep_text=True)), small(limits)).where("kept").select(*DOC_COLUMNS)
 
 
 ORACLE = r"""
