@@ -89,6 +89,24 @@ def gram_matrix(df: DataFrame, features: Sequence[str], centered: bool = False)
     return g, n
 
 
+def inflation(g: np.ndarray, tol: float = 1e-12) -> list[float]:
+    """(G⁻¹)_ii · G_ii; infinite for every feature that takes part in a linear dependence.
+
+    The Gram matrix is scaled to a unit diagonal first, so the rank test does not depend on units."""
+    d = np.sqrt(np.diag(g))
+    d[d == 0] = 1.0
+    scaled = g / np.outer(d, d)
+    if not len(scaled):
+        return []
+    w, v = np.linalg.eigh(scaled)
+    null = w <= tol * max(w.max(), 1.0)
+    if not null.any():
+        return [float(x) for x in np.diag(np.linalg.inv(scaled))]
+    dependent = (v[:, null] ** 2).sum(axis=1) > 1e-8
+    rest = (v[:, ~null] ** 2 / w[~null]).sum(axis=1)
+    return [float("inf") if dep else float(x) for dep, x in zip(dependent, rest)]
+
+
 def vif(df: DataFrame, features: Sequence[str], centered: bool = False) -> DataFrame:
     """Variance inflation factor per feature with severity bins, ranked desc.
 
@@ -96,11 +114,7 @@ def vif(df: DataFrame, features: Sequence[str], centered: bool = False) -> DataF
     G = XᵀX on complete rows. Only the k×k Gram matrix reaches the driver.
     """
     g, _ = gram_matrix(df, features, centered)
-    try:
-        inv = np.linalg.inv(g)
-        vals = [float(inv[i, i] * g[i, i]) for i in range(len(features))]
-    except np.linalg.LinAlgError:
-        vals = [float("inf")] * len(features)
+    vals = inflation(g)
     spark = df.sparkSession
     out = spark.createDataFrame([(f, i, v) for i, (f, v) in enumerate(zip(features, vals))],
                                 "feature string, ordinal int, vif double")
@@ -112,7 +126,19 @@ def vif(df: DataFrame, features: Sequence[str], centered: bool = False) -> DataF
 # ---------------------------------------------------------------- A22-A25
 
 def crosstab(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Non-zero contingency cells (x_value, y_value, count); rows with a null in either are left out."""
+    """The full contingency table (x_value, y_value, count), zero cells included; rows with a null in either are left out.
+
+    The grid is the table itself (it is the result), built from the distinct values of the counted cells."""
+    counted = _cells(df, x, y)
+    values = counted.agg(F.collect_set("y_value").alias("ys"))
+    grid = (counted.select("x_value").distinct().withColumn("__k", F.lit(1))
+            .join(values.withColumn("__k", F.lit(1)), "__k").select("x_value", F.explode("ys").alias("y_value")))
+    return (grid.join(counted, ["x_value", "y_value"], "left")
+            .select("x_value", "y_value", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+
+
+def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Non-zero contingency cells (x_value, y_value, count)."""
     return (df.where(qcol(x).isNotNull() & qcol(y).isNotNull())
             .groupBy(qcol(x).alias("x_value"), qcol(y).alias("y_value")).count())
 
@@ -149,7 +175,7 @@ def cramers_from_cells(cells: DataFrame, keys: Sequence[str], a: str = "a", b: s
 
 def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
     """Cramér's V of two categoricals: (feature_a, feature_b, chi2, cramers_v, n)."""
-    cells = crosstab(df, x, y).select(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"),
+    cells = _cells(df, x, y).select(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"),
                                       F.col("x_value").cast("string").alias("a"),
                                       F.col("y_value").cast("string").alias("b"), "count")
     return cramers_from_cells(cells, ["feature_a", "feature_b"])

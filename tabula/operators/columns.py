@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabula.functions.expr import (
@@ -30,16 +31,15 @@ def extract_target(df: DataFrame, target: str, row_id: str = "row_id", label: st
 
 
 def encode_target(df: DataFrame, target: str, out: str | None = None) -> DataFrame:
-    """Sorted distinct target values -> 0..n-1 (alphabetical, like a label encoder)."""
-    from pyspark.ml.feature import StringIndexer
+    """Sorted distinct target values -> 0..n-1, in the order of the column's own type; null stays null.
 
+    The classes (one row per distinct value) are ranked and joined back; the source column is not touched unless it
+    is also the output."""
     out = out or target
-    tmp = f"__{target}_idx"
-    model = StringIndexer(inputCol=target, outputCol=tmp, stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(df.select(qcol(target).cast("string").alias(target)))
-    enc = model.transform(df.withColumn(target, qcol(target).cast("string")))
-    return enc.withColumn(out, F.col(tmp).cast("int")).drop(tmp) if out != target else \
-        enc.drop(target).withColumnRenamed(tmp, target).withColumn(target, F.col(target).cast("int"))
+    classes = df.select(qcol(target).alias("__class")).where("__class IS NOT NULL").distinct()
+    ranked = classes.withColumn("__code", (F.dense_rank().over(Window.orderBy("__class")) - 1).cast("int"))
+    coded = df.join(ranked, qcol(target) == F.col("__class"), "left").drop("__class")
+    return coded.withColumn(out, F.col("__code")).drop("__code")
 
 
 def map_target(df: DataFrame, target: str, mapping: Mapping, out: str = "label_map") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabula.operators import ensemble
+from tabula.operators import ensemble, split
 from tabula.operators.neighbors import knn
 
 # Default hyper-parameters of the reference's boosters, as Spark GBT parameters.
@@ -53,6 +53,18 @@ def logistic_regression(C: float = 1.0, weight_sum: float = 1.0, weight_col: str
     return lr
 
 
+class BalancedLogistic:
+    """``logistic_regression`` whose penalty uses the weight sum of the rows it is fitted on, whatever those are
+    (one fold, an oversampled set, all rows)."""
+
+    def __init__(self, C: float = 1.0, weight_col: str | None = "weight", **kw):
+        self.C, self.weight_col, self.kw = C, weight_col, kw
+
+    def fit(self, df: DataFrame):
+        total = df.agg(F.sum(self.weight_col) if self.weight_col else F.count(F.lit(1))).head()[0] or 1.0
+        return logistic_regression(self.C, float(total), self.weight_col, **self.kw).fit(df)
+
+
 def booster_params(profile: str, overrides: Mapping | None = None) -> dict:
     """Spark GBT parameters of a profile with library-style overrides translated (see ``translate``)."""
     p = dict(GBT_PROFILES[profile])
@@ -64,7 +76,6 @@ def translate(params: Mapping) -> dict:
     """Library hyper-parameter names -> Spark GBT / tree parameters; names without an equivalent drop out."""
     out = {}
     for k, v in params.items():
-        k = k.replace("model__", "")
         if k in ("n_estimators", "iterations"):
             out["maxIter"] = int(v)
         elif k == "learning_rate":
@@ -169,10 +180,10 @@ def stacking(train: DataFrame, valid: DataFrame, base: Mapping[str, object], fol
     for f in folds:
         oof = joined(f) if oof is None else oof.unionByName(joined(f))
     meta_in = VectorAssembler(inputCols=names, outputCol="meta_x").transform(
-        oof.join(train.select(id_col, label), id_col)).persist(StorageLevel.MEMORY_AND_DISK)
-    n = meta_in.count()
-    meta = LogisticRegression(featuresCol="meta_x", labelCol=label, regParam=1.0 / (meta_C * n), elasticNetParam=0.0,
-                              standardization=False).fit(meta_in)
+        oof.join(train.select(id_col, label), id_col))
+    meta_in = split.with_class_weights(meta_in, label).persist(StorageLevel.MEMORY_AND_DISK)  # balanced, as the LR model
+    meta = BalancedLogistic(meta_C, features="meta_x", label=label).fit(meta_in)
+    meta_in.unpersist()
     vs = joined(None).join(valid.select(id_col, label), id_col)
     vs = VectorAssembler(inputCols=names, outputCol="meta_x").transform(vs)
     out = meta.transform(vs)

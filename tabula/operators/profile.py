@@ -245,8 +245,8 @@ def value_counts_topk(df: DataFrame, column: str, k: int = 5) -> DataFrame:
 
 
 def class_distribution(df: DataFrame, target: str = "y") -> DataFrame:
-    """(class, count, proportion) of the target."""
-    counts = df.groupBy(qcol(target).alias("class")).count()
+    """(class, count, proportion) of the target's non-null classes."""
+    counts = df.where(qcol(target).isNotNull()).groupBy(qcol(target).alias("class")).count()
     return counts.withColumn("proportion", F.col("count") / F.sum("count").over(Window.partitionBy()))
 
 
@@ -287,8 +287,8 @@ def target_rate_sentinel(df: DataFrame, target: str, cols: Sequence[str], sentin
 
 
 def target_rate_by_value(df: DataFrame, feature: str, target: str) -> DataFrame:
-    """(value, target_rate, n) per value of a feature."""
-    return df.groupBy(qcol(feature).alias("value")).agg(
+    """(value, target_rate, n) per non-null value of a feature."""
+    return df.where(qcol(feature).isNotNull()).groupBy(qcol(feature).alias("value")).agg(
         F.avg(qcol(target).cast("double")).alias("target_rate"), F.count(F.lit(1)).alias("n"))
 
 
@@ -378,32 +378,27 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = 30) -> DataFra
             .select("feature", "bin", "bin_lo", "bin_hi", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 
-def box_stats(df: DataFrame, value: str, by: str, whisker: float = 1.5, max_groups: int = 1000) -> DataFrame:
+def box_stats(df: DataFrame, value: str, by: str, whisker: float = 1.5, chunk: int = 50) -> DataFrame:
     """Box-plot numbers per class: quartiles, whiskers at the extreme datum within 1.5 IQR, outliers.
 
-    Quartiles per group come from ``exact_quantiles`` on one masked column per group (the group count
-    is bounded by ``max_groups``: a class column), so a hot class is never one value map in one task;
-    the whiskers and outlier counts are then one grouped aggregate with the fences as literals."""
+    Quartiles per group come from ``exact_quantiles`` on masked columns, ``chunk`` groups a pass, so a hot class is
+    never one value map in one task; the fences (a row per group) are joined back for the whiskers and outlier
+    counts. A null group is left out, as a null value is."""
     x = clean_numeric(df, value)
-    base = df.select(qcol(by).alias("group"), x.alias("v")).where(F.col("v").isNotNull())
-    groups = [r[0] for r in base.select("group").distinct().limit(max_groups + 1).collect()]
-    if len(groups) > max_groups:
-        raise ValueError(f"box_stats: more than {max_groups} groups in {by!r}")
-    masked = base.select(*[F.when(F.col("group") == F.lit(g), F.col("v")).alias(f"g{i}") for i, g in enumerate(groups)])
-    qv = exact_quantiles(masked, [f"g{i}" for i in range(len(groups))], (0.25, 0.5, 0.75))
-    fences = {}
-    for i, g in enumerate(groups):
-        q1, med, q3 = qv[f"g{i}"]
-        fences[g] = (q1, med, q3, q1 - whisker * (q3 - q1), q3 + whisker * (q3 - q1))
-
-    def lit_by_group(k):
-        e = None
-        for g, f in fences.items():
-            cond = F.col("group") == F.lit(g)
-            e = F.when(cond, F.lit(f[k])) if e is None else e.when(cond, F.lit(f[k]))
-        return e
-    j = base.withColumn("q1", lit_by_group(0)).withColumn("median", lit_by_group(1)).withColumn("q3", lit_by_group(2))
-    j = j.withColumn("lo_fence", lit_by_group(3)).withColumn("hi_fence", lit_by_group(4))
+    base = df.select(qcol(by).alias("group"), x.alias("v")).where(F.col("v").isNotNull() & F.col("group").isNotNull())
+    groups = [r[0] for r in base.select("group").distinct().collect()]  # a class column: its values are the result's rows
+    fences = []
+    for at in range(0, len(groups), chunk):
+        part = groups[at: at + chunk]
+        masked = base.where(F.col("group").isin(part)).select(
+            *[F.when(F.col("group") == F.lit(g), F.col("v")).alias(f"g{i}") for i, g in enumerate(part)])
+        qv = exact_quantiles(masked, [f"g{i}" for i in range(len(part))], (0.25, 0.5, 0.75))
+        for i, g in enumerate(part):
+            q1, med, q3 = (float(q) for q in qv[f"g{i}"])
+            fences.append((g, q1, med, q3, q1 - whisker * (q3 - q1), q3 + whisker * (q3 - q1)))
+    kind = base.schema["group"].dataType
+    schema = T.StructType([T.StructField("group", kind)] + [T.StructField(n, T.DoubleType()) for n in ("q1", "median", "q3", "lo_fence", "hi_fence")])
+    j = base.join(df.sparkSession.createDataFrame(fences, schema), "group")
     inside = (F.col("v") >= F.col("lo_fence")) & (F.col("v") <= F.col("hi_fence"))
     return j.groupBy("group", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("v"))).alias("whisker_lo"),

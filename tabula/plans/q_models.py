@@ -67,8 +67,7 @@ def q_pipeline_fit_score(spark, sf):
     """prep (fitted on train) -> SMOTE on train only -> logistic regression -> validation metrics."""
     p = prepare(spark, sf)
     train = smote_prepared(p.part("train"))
-    lr = models.logistic_regression(C=1.0, weight_sum=float(train.count()))
-    model = lr.fit(train)
+    model = models.BalancedLogistic(C=1.0).fit(train)
     return _eval(models.score(model, p.part("validation")), "LogisticRegression", "smote")
 
 
@@ -84,7 +83,7 @@ def q_batch_score(spark, sf):
 @register("fit_decision_tree")
 def q_fit_decision_tree(spark, sf):
     p = prepare(spark, sf)
-    m = models.decision_tree(max_depth=5).fit(p.part("train"))
+    m = models.decision_tree().fit(p.part("train"))
     return _eval(models.score(m, p.part("validation")), "DecisionTree")
 
 
@@ -127,7 +126,7 @@ def q_fit_knn(spark, sf):
 @register("stacking")
 def q_stacking(spark, sf):
     p = prepare(spark, sf, folds=5)
-    base = {"decision_tree": models.decision_tree(max_depth=5), "knn": "knn",
+    base = {"decision_tree": models.decision_tree(), "knn": "knn",
             "gbt_a": models.gbt("A", SHORT), "gbt_b": models.gbt("B", SHORT), "gbt_c": models.gbt("C", SHORT)}
     out = models.stacking(p.part("train"), p.part("validation"), base, fold_col="fold")
     return _eval(out, "Stacking")
@@ -135,13 +134,13 @@ def q_stacking(spark, sf):
 
 @register("voting_models")
 def q_voting_models(spark, sf):
-    """Soft and hard voting over fitted DT, LR and a booster (chained scores, then the long-form vote)."""
+    """Soft and hard voting over the six estimators: DT, kNN, LR and the three boosters (long-form vote)."""
     p = prepare(spark, sf)
     tr, va = p.part("train"), p.part("validation")
-    fitted = {"dt": models.decision_tree(max_depth=5).fit(tr),
-              "lr": models.logistic_regression(weight_sum=p.weight_sum).fit(tr),
-              "gbt": models.gbt("A", SHORT).fit(tr)}
-    long = None
+    fitted = {"dt": models.decision_tree().fit(tr), "lr": models.BalancedLogistic().fit(tr),
+              **{f"gbt_{k.lower()}": models.gbt(k, SHORT).fit(tr) for k in ("A", "B", "C")}}
+    long = (models.knn_scores(tr, va, k=3).join(va.select("row_id", "label"), "row_id")
+            .select("row_id", "label", "prediction", "score", F.lit("knn").alias("model")))
     for name, m in fitted.items():
         s = models.score(m, va).withColumn("model", F.lit(name))
         long = s if long is None else long.unionByName(s)
@@ -160,9 +159,8 @@ def q_random_search(spark, sf):
     SMOTE inside each fold, weighted F1, refit of the best on all training rows."""
     p = prepare(spark, sf, folds=3)
     tr = p.part("train")
-    n = float(tr.count())
     best, params, summary = search.random_search(
-        tr, lambda c: models.logistic_regression(C=float(c["C"]), weight_sum=n),
+        tr, lambda c: models.BalancedLogistic(C=float(c["C"])),
         search.SEARCH_SPACES["LogisticRegression"], n_iter=20, resample=smote_prepared, model_name="LogisticRegression")
     return summary
 
@@ -203,9 +201,8 @@ def q_cv_compare(spark, sf):
 @register("compare_all")
 def q_compare_all(spark, sf):
     p = prepare(spark, sf, folds=5)
-    w = p.weight_sum
-    ests = {"DecisionTree": lambda: models.decision_tree(max_depth=5),
-            "LogisticRegression": lambda: models.logistic_regression(weight_sum=w * 0.8),
+    ests = {"DecisionTree": lambda: models.decision_tree(),
+            "LogisticRegression": lambda: models.BalancedLogistic(),
             "GBT-A": lambda: models.gbt("A", SHORT), "GBT-B": lambda: models.gbt("B", SHORT),
             "GBT-C": lambda: models.gbt("C", SHORT)}
     return search.compare_all(p.part("train"), p.part("test"), ests)

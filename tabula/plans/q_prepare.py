@@ -437,9 +437,7 @@ def q_rank_by_abs(spark, sf):
     feats = ["l_quantity", "l_discount", "l_tax"]
     row = li.agg(*[F.struct(F.lit(c).alias("feature"), F.corr(c, "l_extendedprice").alias("corr")).alias(c) for c in feats])
     long = row.select(F.inline(F.array(*[F.col(c) for c in feats])))
-    from pyspark.sql import Window
-    w = Window.orderBy(F.abs(F.col("corr")).desc(), F.col("feature"))
-    return rounded(long.withColumn("rank", F.row_number().over(w)))
+    return rounded(report.rank_by_abs(long, "corr", "feature"))
 
 
 @register("vote_soft", f"""

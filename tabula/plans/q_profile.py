@@ -269,9 +269,12 @@ def q_vif(spark, sf):
 # ---------------------------------------------------------------- A22-A25
 
 @register("crosstab", """
-SELECT l_returnflag AS x_value, l_linestatus AS y_value, count(*) AS count FROM lineitem
-WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2""")
+WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*) AS n FROM lineitem
+           WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT * FROM (SELECT DISTINCT x FROM c), (SELECT DISTINCT y FROM c))
+SELECT g.x AS x_value, g.y AS y_value, coalesce(n, 0) AS count FROM g LEFT JOIN c ON g.x = c.x AND g.y = c.y""")
 def q_crosstab(spark, sf):
+    """The full table: flag and status leave cells empty, which count 0."""
     return assoc.crosstab(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
 
 

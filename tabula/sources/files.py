@@ -12,19 +12,15 @@ DELIMITERS = (",", ";", "\t", "|")
 
 
 def detect_delimiter(spark: SparkSession, path: str, n_lines: int = 20, candidates: Sequence[str] = DELIMITERS) -> str:
-    """Pick the delimiter whose count is constant and non-zero over the first lines (header included).
+    """Pick the delimiter with the highest constant, non-zero count over the first lines (header included).
 
     Only ``n_lines`` lines reach the driver. Falls back to the most frequent candidate, then ','.
     """
     lines = [r[0] for r in spark.read.text(path).limit(n_lines).collect() if r[0]]
-    best, best_total = ",", 0
-    for d in candidates:
-        counts = [ln.count(d) for ln in lines]
-        if counts and counts[0] > 0 and len(set(counts)) == 1:
-            return d
-        if sum(counts) > best_total:
-            best, best_total = d, sum(counts)
-    return best
+    times = {d: [ln.count(d) for ln in lines] for d in candidates}
+    steady = {d: c[0] for d, c in times.items() if c and c[0] > 0 and len(set(c)) == 1}
+    pool = steady or {d: sum(c) for d, c in times.items() if sum(c)}
+    return max(pool, key=pool.get) if pool else ","
 
 
 def load_csv(spark: SparkSession, path: str, sep: str | None = None, header: bool = True,
@@ -37,8 +33,12 @@ def load_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
     return rename_dots(df) if fix_names else df
 
 
-def load_json(spark: SparkSession, path: str, multi_line: bool = False, fix_names: bool = True) -> DataFrame:
-    """JSON scan: NDJSON by default, ``multi_line=True`` for one array-of-records document."""
+def load_json(spark: SparkSession, path: str, multi_line: bool | None = None, fix_names: bool = True) -> DataFrame:
+    """JSON scan of newline-delimited records or of one array-of-records document (detected from the first line
+    with text unless ``multi_line`` says which)."""
+    if multi_line is None:
+        first = spark.read.text(path).where("trim(value) != ''").limit(1).collect()
+        multi_line = bool(first) and first[0][0].lstrip().startswith("[")
     df = spark.read.option("multiLine", multi_line).json(path)
     return rename_dots(df) if fix_names else df
 
@@ -51,7 +51,7 @@ def load_data(spark: SparkSession, path: str, file_type: str = "csv", sep: str |
         return load_json(spark, path, **kw)
     if file_type == "parquet":
         return spark.read.parquet(path)
-    raise ValueError(f"Unsupported file type: {file_type!r}. Choose from: csv, json, parquet.")
+    raise ValueError(f"no reader for {file_type!r}: expected csv, json or parquet")
 
 
 def preview(df: DataFrame, order_by: str | Sequence[str], n: int = 5) -> DataFrame:

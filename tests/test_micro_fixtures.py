@@ -163,3 +163,62 @@ def test_delimiter_detection(spark, tmp_path):
     assert df.columns == ["a", "b_c", "d"] and df.count() == 2
     assert files.detect_delimiter(spark, str(p)) == ";"
     _ = F  # keep import used
+
+
+def test_vif_of_a_linear_dependence_is_infinite(spark):
+    rows = [(float(i), float(i * i % 7), float(i) + float(i * i % 7), float((i * 31) % 11)) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = {r.feature: (r.vif, r.severity) for r in association.vif(df, ["a", "b", "c", "d"]).collect()}
+    assert all(got[f] == (math.inf, "Severe") for f in "abc") and 0 < got["d"][0] < 100
+
+
+def test_crosstab_has_its_empty_cells(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), (None, "x"), ("c", None)], "p string, q string")
+    got = {(r.x_value, r.y_value): r["count"] for r in association.crosstab(df, "p", "q").collect()}
+    assert got == {("a", "x"): 2, ("a", "y"): 0, ("b", "x"): 0, ("b", "y"): 1}
+
+
+def test_null_classes_are_left_out(spark):
+    df = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 0), ("b", 5.0, 1), (None, 9.0, 1)], "g string, v double, y int")
+    assert sorted((r["class"], round(r.proportion, 6)) for r in profile.class_distribution(df, "g").collect()) == [("a", 0.666667), ("b", 0.333333)]
+    assert {(r.value, r.target_rate, r.n) for r in profile.target_rate_by_value(df, "g", "y").collect()} == {("a", 0.5, 2), ("b", 1.0, 1)}
+    assert {r.group: (r.median, r.n) for r in profile.box_stats(df, "v", "g", chunk=1).collect()} == {"a": (2.0, 2), "b": (5.0, 1)}
+
+
+def test_encode_integers_in_their_own_order(spark):
+    df = spark.createDataFrame([(10,), (2,), (9,), (2,), (None,)], "t int")
+    got = columns.encode_target(df, "t", "code")
+    assert {(r.t, r.code) for r in got.collect()} == {(2, 0), (9, 1), (10, 2), (None, None)} and got.schema["t"].dataType.typeName() == "integer"
+
+
+def test_delimiter_and_json_array(spark, tmp_path):
+    from tabula.sources import files
+    (tmp_path / "a.csv").write_text("x;y;z\n1,5;2;3\n2,5;3;4\n")  # one constant comma a line below the header
+    (tmp_path / "b.csv").write_text("p,q;y;z\n1,5;2;3\n2,5;3;4\n")
+    assert files.detect_delimiter(spark, str(tmp_path / "a.csv")) == files.detect_delimiter(spark, str(tmp_path / "b.csv")) == ";"
+    (tmp_path / "a.json").write_text('\n [{"a": 1},\n {"a": 2}]\n')
+    (tmp_path / "b.json").write_text('{"a": 1}\n{"a": 2}\n')
+    for name in ("a.json", "b.json"):
+        df = files.load_json(spark, str(tmp_path / name))
+        assert df.columns == ["a"] and sorted(r.a for r in df.collect()) == [1, 2]
+
+
+def test_rank_by_abs_breaks_ties(spark):
+    from tabula.operators import report
+    df = spark.createDataFrame([("b", -2.0), ("a", 2.0), ("c", 3.0), ("d", None)], "f string, v double")
+    assert {r.f: r["rank"] for r in report.rank_by_abs(df, "v", "f").collect()} == {"c": 1, "a": 2, "b": 3, "d": 4}
+
+
+def test_logistic_penalty_follows_the_rows(spark):
+    """At the optimum w + C * sum(weight * dloss) = 0 for weighted rows whose weights do not add up to their number."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    from tabula.operators import models
+    rng = np.random.default_rng(1)
+    x, w = rng.normal(size=(200, 3)), rng.uniform(0.5, 4, 200)
+    y = (x[:, 0] + rng.normal(size=200) > 0).astype(float)
+    df = spark.createDataFrame([(Vectors.dense(a), float(b), float(c)) for a, b, c in zip(x, y, w)], ["features", "label", "weight"])
+    m = models.BalancedLogistic(C=0.7).fit(df)
+    beta = m.coefficients.toArray()
+    p = 1 / (1 + np.exp(-(x @ beta + m.intercept)))
+    assert np.abs(beta + 0.7 * x.T @ (w * (p - y))).max() < 0.05
