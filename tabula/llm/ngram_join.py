@@ -3,10 +3,11 @@
 A document's set holds the 64-bit hashes of its distinct ``SHINGLE``-word shingles. Two documents link when
 9 * overlap >= 4 * (size + size), which is a Jaccard similarity of 0.8. Equal sets are one node.
 
-Count vectors: shingles fall into ``GROUPS`` hash groups, and a node is the point of its group counts. The overlap
-of two points is at most the sum of their coordinate minima; the overlap of two R-tree boxes at most the sum of
-the minima of their upper corners. Pairs whose bound misses the requirement are pruned, the rest verified on the
-sets. One R-tree over a whole corpus would visit nearly every leaf (unrelated documents of one length have nearly
+Count vectors: shingles fall into hash groups, and a node is the point of its group counts. The overlap of two points
+is at most the sum of their coordinate minima; the overlap of two R-tree boxes at most the sum of the minima of their
+upper corners. Boxes use ``GROUPS`` coordinates; a point has as many groups (a power of two) as leave about
+``PER_GROUP`` shingles in each, because counts of large groups are alike in all long documents, and two points compare
+at the coarser of their resolutions. Pairs whose bound misses the requirement are pruned, the rest verified on the sets. One R-tree over a whole corpus would visit nearly every leaf (unrelated documents of one length have nearly
 equal counts), so trees are built inside blocks that no link can leave:
 
 * Prefix rule: with one global order of shingles, linked sets share one among their first size - ceil(0.8 size) + 1
@@ -40,6 +41,7 @@ from tabula.session import materialize
 
 SHINGLE = 5
 GROUPS = 64
+PER_GROUP = 6
 RARE = 2048
 CHUNK = 1024
 LEAF, FAN = 32, 8
@@ -120,7 +122,9 @@ def node_id(s: np.ndarray) -> int:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> U(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Group counts by the leading bits of the hashes, one byte each (coarser groups are sums of adjacent ones)."""
+    bits = max(int(GROUPS).bit_length() - 1, int(len(s) // PER_GROUP).bit_length())
+    return np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -129,11 +133,30 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 # --- count-vector R-tree -----------------------------------------------------------------------------------------
 
-def survivors(vec: np.ndarray, size: np.ndarray, guest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _coarse(points: list[np.ndarray], groups: int) -> np.ndarray:
+    return np.array([p.reshape(groups, -1).sum(axis=1, dtype=np.int32) for p in points], np.int32).reshape(len(points), groups)
+
+
+def survivors(points: list[np.ndarray], size: np.ndarray, guest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs whose overlap bound allows a link. With ``guest``, only pairs of a guest and a host."""
-    n = len(size)
-    if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y = _tree_pairs(_coarse(points, GROUPS), size, guest) if len(size) > 1 else (np.zeros(0, np.int64),) * 2
+    groups = np.array([len(p) for p in points], np.int64)
+    level = np.minimum(groups[x], groups[y])
+    ok = np.ones(len(x), bool)
+    for g in np.unique(level[level > GROUPS]):
+        at = np.flatnonzero(level == g)
+        members, place = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
+        fine = _coarse([points[i] for i in members], int(g))
+        p, q = place[: len(at)], place[len(at):]
+        block = max(1, (1 << 21) // int(g))
+        for i in range(0, len(at), block):
+            bound = np.minimum(fine[p[i: i + block]], fine[q[i: i + block]]).sum(axis=1, dtype=np.int64)
+            ok[at[i: i + block]] = 9 * bound >= 4 * (size[x[at[i: i + block]]] + size[y[at[i: i + block]]])
+    return x[ok], y[ok]
+
+
+def _tree_pairs(vec: np.ndarray, size: np.ndarray, guest: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Descend the tree against itself, dropping pairs of boxes, then of points, by bound and size."""
     order = _pack(vec, size)
     v, s = vec[order], size[order]
     levels = [(v, s, s)]  # upper corner, least size, greatest size
@@ -206,7 +229,7 @@ def spanning(sets: list[np.ndarray], start: int, guest: np.ndarray | None = None
         up[joined] = start
         up[start] = start
     size = np.array([len(s) for s in sets], np.int64)
-    x, y = survivors(np.array([count_vector(s) for s in sets]), size, guest)
+    x, y = survivors([count_vector(s) for s in sets], size, guest)
     first = np.argsort((x != start) & (y != start), kind="stable")
     links = []
     for i, j in zip(x[first].tolist(), y[first].tolist()):
@@ -322,7 +345,7 @@ def prune(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Members of (leader, chunk) groups that keep a partner under the overlap bound."""
     node, size = numpy_of(table.column("node")), numpy_of(table.column("n"))
     guest = numpy_of(table.column("guest"))
-    vec = np.frombuffer(_joined(table.column("vec")), np.int32).reshape(-1, GROUPS)
+    vec = [np.frombuffer(v, np.uint8) for v in table.column("vec").to_pylist()]
     kept = []
     for a, b in _groups(table):
         x, y = survivors(vec[a:b], size[a:b], guest[a:b] if guest[a:b].any() else None)
