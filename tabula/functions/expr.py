@@ -119,10 +119,6 @@ def categorical_indices(df: DataFrame, numeric: Sequence[str]) -> list[int]:
     return [i for i, c in enumerate(df.columns) if c not in set(numeric)]
 
 
-def dtype_of(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
-
-
 def long_from_structs(structs: list[Column]) -> Column:
     """Explode an array of same-shaped structs: the wide-to-long step after a one-row aggregate."""
     return F.inline(F.array(*structs))

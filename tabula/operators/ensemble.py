@@ -25,9 +25,3 @@ def vote_hard(long: DataFrame, row_id: str = "row_id", prediction: str = "predic
     return long.groupBy(row_id, *extra).agg(
         F.mode(F.col(prediction), deterministic=True).cast("int").alias("prediction"),
         F.count(F.lit(1)).alias("n_votes"))
-
-
-def vote_columns(df: DataFrame, score_cols: list[str], out: str = "score", threshold: float = 0.5) -> DataFrame:
-    """Row-wise soft vote when each model's score is its own column (chained transforms): no shuffle."""
-    mean = sum((F.col(c) for c in score_cols), F.lit(0.0)) / F.lit(float(len(score_cols)))
-    return df.withColumn(out, mean).withColumn("prediction", (F.col(out) >= threshold).cast("int"))

@@ -190,12 +190,3 @@ def knn_vote(neigh: DataFrame, weights: str = "uniform") -> DataFrame:
     votes = src.groupBy("q_id", "r_label").agg(F.sum(w).alias("votes"))
     return votes.groupBy("q_id").agg(
         F.max_by(F.col("r_label"), F.struct(F.col("votes"), -F.col("r_label"))).alias("prediction"))
-
-
-def knn_classify(train: DataFrame, test: DataFrame, k: int = 3, metric: str = "euclidean",
-                 weights: str = "uniform", id_col: str = "id", vec: str = "v", label: str = "label") -> DataFrame:
-    """Predict the label of every test row from its k nearest training rows: (id, prediction)."""
-    neigh = knn(test.select(F.col(id_col).alias("q_id"), F.col(vec).alias("v")),
-                train.select(F.col(id_col).alias("r_id"), F.col(vec).alias("v"), F.col(label).alias("label")),
-                k, metric)
-    return knn_vote(neigh, weights).withColumnRenamed("q_id", id_col)

@@ -166,12 +166,3 @@ def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str])
         labels = one_hot_labels(encoder)
         names += [f"{c}_{v}" for c in categorical for v in labels[c]]
     return PrepModel(numeric, categorical, medians, scaler, modes, encoder, names=names)
-
-
-def feature_names(df: DataFrame, features_col: str = "features") -> list[str]:
-    """Feature names in vector order from the ML attribute metadata."""
-    meta = df.schema[features_col].metadata.get("ml_attr", {})
-    attrs = []
-    for group in meta.get("attrs", {}).values():
-        attrs += [(a["idx"], a.get("name", str(a["idx"]))) for a in group]
-    return [n for _, n in sorted(attrs)]

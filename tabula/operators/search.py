@@ -229,7 +229,3 @@ def compare_all(train: DataFrame, test: DataFrame, estimators: Mapping[str, Call
         tests = list(pool.map(run, list(estimators)))
     t = spark.createDataFrame([(n, float(s)) for n, s in tests], "model string, test_f1 double")
     return summary.join(t, "model")
-
-
-def probability_of_one(df: DataFrame, prob_col: str = "probability") -> DataFrame:
-    return df.withColumn("score", vector_to_array(F.col(prob_col))[1])

@@ -234,14 +234,3 @@ def with_class_weights(df: DataFrame, label: str, out: str = "weight", counts: M
     n, k = sum(counts.values()), len(counts)
     m = F.create_map(*[x for c, v in counts.items() for x in (F.lit(c), F.lit(n / (k * v)))])
     return df.withColumn(out, m[qcol(label)])
-
-
-def hash_fraction_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, out: str = "split") -> DataFrame:
-    """Approximate-size split for unbounded streams of rows: hash fraction < test_size (no pass over data)."""
-    u = F.conv(F.substring(hash_key(qcol(key), seed), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-    return df.withColumn(out, F.when(u < test_size, F.lit("test")).otherwise(F.lit("train")))
-
-
-def assign_by_splits(df: DataFrame, column: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """Views of one labelled DataFrame per split name (no physical split)."""
-    return {n: df.where(F.col(column) == n) for n in names}

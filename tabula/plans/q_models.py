@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabula.operators import explain, metrics, models, report, resample, search
 from tabula.plans import q_prepare  # noqa: F401  (registered first: its oracles are reused below)
 from tabula.plans.fixtures import PLANTED_SQL, planted
-from tabula.plans.learning import prepare
+from tabula.plans.learning import CATEGORICAL, NUMERIC, prepare
 from tabula.plans.registry import register, rounded
 from tabula.session import scratch_dir
 from tabula.sources import files
@@ -78,6 +78,17 @@ def q_batch_score(spark, sf):
     return models.score(model, p.part("validation"))
 
 
+@register("feature_names", f"""
+WITH p AS {PLANTED_SQL}, n AS (SELECT unnest({list(NUMERIC)!r}) AS name, generate_subscripts({list(NUMERIC)!r}, 1) AS i),
+c AS ({" UNION ALL ".join(f"SELECT '{c}_' || {c} AS name, {k} AS g FROM (SELECT DISTINCT {c} FROM p)" for k, c in enumerate(CATEGORICAL))})
+SELECT name AS feature, CAST(i - 1 AS INTEGER) AS ordinal FROM n UNION ALL
+SELECT name, CAST({len(NUMERIC)} + row_number() OVER (ORDER BY g, name) - 1 AS INTEGER) FROM c""")
+def q_feature_names(spark, sf):
+    """the names of the assembled vector, in order."""
+    names = prepare(spark, sf).prep.names
+    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "feature string, ordinal int")
+
+
 # ---------------------------------------------------------------- M1-M6, M8
 
 @register("fit_decision_tree")

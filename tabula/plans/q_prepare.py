@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabula.functions import expr
 from tabula.functions.expr import qcol
 from tabula.operators import columns as cols_ops
 from tabula.operators import ensemble, metrics, prep, report, split
@@ -506,3 +507,17 @@ def q_attach_predictions(spark, sf):
     preds = _val(spark, sf).where(F.col("model") == "m1").select("row_id", "label", "prediction", "score")
     feats = planted(spark, sf).select("row_id", "l_quantity", "l_discount")
     return rounded(feats.join(preds, "row_id"))
+
+
+@register("feature_roles", """
+WITH c AS (SELECT column_name, column_type, row_number() OVER () - 1 AS i FROM (DESCRIBE SELECT * FROM orders))
+SELECT column_name AS feature, CASE WHEN column_type = 'VARCHAR' THEN 'categorical' ELSE 'numeric' END AS role,
+  CAST(CASE WHEN column_type = 'VARCHAR' THEN i END AS INTEGER) AS ordinal
+FROM c WHERE column_type IN ('VARCHAR', 'BIGINT', 'INTEGER', 'DOUBLE') AND column_name != 'o_orderstatus'""")
+def q_feature_roles(spark, sf):
+    """P3 and P4: roles by type without the target, and the ordinals of the columns that are not numeric."""
+    o = table(spark, sf, "orders")
+    numeric, categorical = expr.feature_roles(o, "o_orderstatus")
+    at = {o.columns[i]: i for i in expr.categorical_indices(o, numeric)}
+    rows = [(c, "numeric", None) for c in numeric] + [(c, "categorical", at[c]) for c in categorical]
+    return spark.createDataFrame(rows, "feature string, role string, ordinal int")

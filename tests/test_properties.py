@@ -73,15 +73,6 @@ def test_auc_invariant_to_monotone_transform(spark):
     assert a1 == pytest.approx(ref)
 
 
-def test_global_index_is_a_permutation(spark):
-    df = spark.range(1000).withColumn("h", F.md5(F.col("id").cast("string")))
-    idx = explain.global_index(df, ["h"], out="i")
-    vals = sorted(r.i for r in idx.collect())
-    assert vals == list(range(1000))
-    first = idx.where("i = 0").first()
-    assert first.h == min(r.h for r in df.collect())
-
-
 def test_tree_shap_additive_and_gbt_learns(spark):
     from tabula.plans.learning import prepare
     p = prepare(spark, SF_SMALL)
