@@ -1,20 +1,19 @@
-"""The training flow of the reference re-expressed on Spark (its main script), on the planted-label table.
-
-load -> encode target -> drop columns -> exact stratified 64/16/20 split -> binarize -> impute
-sentinel (fit on train) -> numeric / categorical roles -> prep (median, population scaling, one-hot)
--> balanced weights and stratified folds on train -> models -> metrics / reports.
+"""The training flow over the planted-label table: exact stratified 64/16/20 split -> preparation fitted on the train
+part (median imputation, population scaling, mode imputation, one-hot) -> balanced weights and stratified folds on
+train. Label encoding, dropped columns, binarizing and the sentinel imputer are operators of their own with their own
+queries; this table has none of the columns they act on.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabula.operators import prep, split
 from tabula.plans.fixtures import planted
+from tabula.session import materialize
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CATEGORICAL = ["l_returnflag", "l_linestatus"]
@@ -32,10 +31,10 @@ class Prepared:
 
 def prepare(spark: SparkSession, sf_dir: str, folds: int = 3, seed: int = 42) -> Prepared:
     """The shared preparation: one exact split, prep fitted on train rows only, balanced weights, folds."""
-    # the projected table is read by the split's passes, every fit and the transform: scan it once
-    base = (planted(spark, sf_dir).select("row_id", *NUMERIC, *CATEGORICAL, F.col("y").alias("label"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    base = split.three_way_split(base, "label", "row_id", 0.2, 0.2, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    # the split table and the prepared table are read by several fits: each is written once to the shared folder, so
+    # neither depends on an executor's cache
+    base = materialize(planted(spark, sf_dir).select("row_id", *NUMERIC, *CATEGORICAL, F.col("y").alias("label")), "base")
+    base = materialize(split.three_way_split(base, "label", "row_id", 0.2, 0.2, seed), "split")
     train = base.where(F.col("split") == "train")
     model = prep.fit_prep(train, NUMERIC, CATEGORICAL)
     data = model.transform(base)
@@ -46,5 +45,5 @@ def prepare(spark: SparkSession, sf_dir: str, folds: int = 3, seed: int = 42) ->
     other = (data.where(F.col("split") != "train").withColumn("fold", F.lit(-1))
              .withColumn("weight", F.lit(1.0)))
     cols = ["row_id", "label", "split", "fold", "weight", "features"]
-    out = tr.select(*cols).unionByName(other.select(*cols)).persist(StorageLevel.MEMORY_AND_DISK)
+    out = materialize(tr.select(*cols).unionByName(other.select(*cols)), "prepared")
     return Prepared(out, model, float(sum(counts.values())))
