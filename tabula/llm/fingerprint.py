@@ -65,12 +65,12 @@ def words(text: Column) -> Column:
 
 
 def bucketed(docs: DataFrame) -> DataFrame:
-    """(bucket, guest, key, doc_id, text): every document in its bucket of ids, bucket heads also as guests."""
+    """(bucket, guest, key, text): every document in its bucket of ids, bucket heads also as guests. ``key`` is the id
+    (``NO_ID`` for null)."""
     spark = docs.sparkSession
     tasks = partitions(spark) * TASKS_PER_PARTITION
     n = min(MAX_BUCKETS, tasks * BUCKETS_PER_TASK)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    d = d.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     constant = lambda v, kind: F.split(F.lit(",".join(map(str, v))), ",").cast(f"array<{kind}>")  # noqa: E731  one literal, folded by the optimizer
     at = constant([i / n for i in range(1, n)] or [0.5], "double")
     cuts = sorted(set(d.agg(F.percentile_approx("key", at, 10 * n)).head()[0] or []))
@@ -88,20 +88,21 @@ def bucketed(docs: DataFrame) -> DataFrame:
     home = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest"))
     visit = F.struct(F.element_at(host_of, F.col("bucket") + 1).alias("bucket"), F.lit(1).alias("guest"))
     places = F.when(F.col("key") == F.element_at(head_of, F.col("bucket") + 1), F.array(home, visit)).otherwise(F.array(home))
-    return d.select("key", "doc_id", "text", F.inline(places)).repartition(tasks, "bucket")
+    return d.select("key", "text", F.inline(places)).repartition(tasks, "bucket")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Per document the texts' digests, both fingerprints and the two likenesses."""
     order = W.partitionBy("bucket").orderBy("guest", F.col("key").desc(), "text")
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    rows = (bucketed(docs).select("bucket", "guest", "doc_id", "text", F.char_length("text").cast("long").alias("n_chars"),
+    rows = (bucketed(docs).select("bucket", "guest", "key", "text", F.char_length("text").cast("long").alias("n_chars"),
                                   F.row_number().over(order).alias("rn"), F.lead("text", 1, "").over(order).alias("following")))
     edited = F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 3)))"), F.substring("following", F.lit(1), third))
     rows = rows.withColumn("edited", F.when(F.col("guest") == 0, edited).otherwise(F.lit("")))
     # one element per word of either text, and a marker that keeps a row for texts without words
     own, both = words(F.col("text")), F.concat(F.array(F.lit("")), words(F.col("text")), words(F.col("edited")))
-    seen = (rows.select("bucket", "rn", F.size(own).alias("n_own"), F.posexplode(both).alias("pos", "word"))
+    seen = (rows.select("bucket", "rn", F.size(own).alias("n_own"), both.alias("both"))  # split once a text, below the generator
+            .select("bucket", "rn", "n_own", F.posexplode("both").alias("pos", "word"))
             .where("word != '' OR pos = 0")
             .select("bucket", "rn", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"),
                     ((F.col("pos") > 0) & (F.col("pos") <= F.col("n_own"))).cast("int").alias("a"), (F.col("pos") > F.col("n_own")).cast("int").alias("b")))
@@ -115,7 +116,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
             .select("bucket", "rn", signature([F.col(f"x{k}") for k in range(SAMPLES)]).alias("fp"), signature([F.col(f"y{k}") for k in range(SAMPLES)]).alias("efp")))
     after = F.lead("fp").over(W.partitionBy("bucket").orderBy("rn"))
     sigs = sigs.withColumn("after", after)
-    meta = rows.where("guest = 0").select("bucket", "rn", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    meta = rows.where("guest = 0").select("bucket", "rn", F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     return (meta.join(sigs, ["bucket", "rn"])
             .select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"),
                     likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("after")).alias("near_next")))
