@@ -46,7 +46,7 @@ RARE = 2048
 CHUNK = 1024
 LEAF, FAN = 32, 8
 BUCKET_TOKENS = 400_000
-PIECE = 1 << 20  # bytes of text that are hashed together
+PIECE = 1 << 18  # bytes of text that are hashed together
 NO_ID = -(1 << 63)
 
 U = np.uint64
@@ -88,6 +88,22 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def sets_of(column: pa.Array, rows: int = 512) -> list[np.ndarray]:
+    """Sets of an Arrow column, a slice of it in Python at a time."""
+    return [s for i in range(0, len(column), rows) for s in shingle_sets(utf8(column.slice(i, rows)))]
+
+
+def repeated(sets: list[np.ndarray], least: int, parts: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in at least ``least`` of the sorted sets, and in how many; one range of hashes after another."""
+    cut = [np.searchsorted(s, np.arange(1, parts, dtype=np.uint64) * U((1 << 64) // parts)) for s in sets]
+    tokens, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for k in range(parts):
+        t, n = np.unique(np.concatenate([s[(c[k - 1] if k else 0): (c[k] if k < parts - 1 else len(s))] for s, c in zip(sets, cut)]), return_counts=True)
+        tokens.append(t[n >= least])
+        times.append(n[n >= least])
+    return np.concatenate(tokens), np.concatenate(times)
+
+
 def _shingle_piece(texts: list[bytes]) -> list[np.ndarray]:
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends_at = np.cumsum([len(t) + 1 for t in texts])
@@ -251,7 +267,7 @@ def node_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in NODES.split(", ")]
         for b in batches:
-            sets = shingle_sets(utf8(b.column("text")))
+            sets = sets_of(b.column("text"))
             ids = [node_id(s) if len(s) else None for s in sets]
             vec = [count_vector(s).tobytes() if len(s) else None for s in sets]
             n = len(sets)
@@ -259,28 +275,27 @@ def node_table(docs: DataFrame) -> DataFrame:
                                               pa.array(ids, pa.int64()), pa.array(vec, pa.binary()), pa.nulls(n, pa.int64())], names)
             distinct = list({i: s for i, s in zip(ids, sets) if i is not None}.values())
             if distinct:
-                tokens, times = np.unique(np.concatenate(distinct), return_counts=True)
-                often = times >= max(2, len(distinct) // RARE)
-                k = int(often.sum())
+                tokens, times = repeated(distinct, max(2, len(distinct) // RARE))
+                k = len(tokens)
                 yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                                                  pa.array(tokens[often].view(np.int64)), pa.nulls(k, pa.binary()), pa.array(times[often], pa.int64())], names)
+                                                  pa.array(tokens.view(np.int64)), pa.nulls(k, pa.binary()), pa.array(times, pa.int64())], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, NODES)
 
 
-PREFIX = "kind int, bucket long, token binary, node binary, class binary"
+PREFIX = "bucket long, token binary, node binary, class binary, least binary"
 
 
-def prefix_table(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """kind 0: the rare prefix shingles of a batch that fall into one bucket, packed; kind 1: frequent ones (bucket
-    -1). A node is emitted once per task."""
+def prefix_table(docs: DataFrame, frequent: np.ndarray, buckets: int | None) -> DataFrame:
+    """The rare prefix shingles of a batch that fall into one bucket, packed; without ``buckets`` the frequent ones
+    instead (bucket -1). A node is emitted once per task. ``least`` has 32 bits of the node's first rare shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most RARE * mean set size shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, often, seen = [x.split()[0] for x in PREFIX.split(", ")], shared.value, set()
         for b in batches:
-            cold, hot, cold_node, hot_node, cls = [], [], [], [], []
-            for s in shingle_sets(utf8(b.column("text"))):
+            token, node, cls, low = [], [], [], []
+            for s in sets_of(b.column("text")):
                 if not len(s) or (i := node_id(s)) in seen:
                     continue
                 seen.add(i)
@@ -288,23 +303,20 @@ def prefix_table(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFra
                 is_hot = often[np.minimum(at, len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
                 rare = s[~is_hot]
                 p = len(s) - -(-4 * len(s) // 5) + 1
-                cold.append(rare[:p])
-                hot.append(s[is_hot][: max(0, p - len(rare))])
-                cold_node.append(np.full(len(cold[-1]), i, np.int64))
-                hot_node.append(np.full(len(hot[-1]), i, np.int64))
-                cls.append(np.full(len(cold[-1]), int(np.log(len(s)) / np.log(1.05)), np.uint16))
-            if not cold:
+                token.append(rare[:p] if buckets else s[is_hot][: max(0, p - len(rare))])
+                k = len(token[-1])
+                node.append(np.full(k, i, np.int64))
+                cls.append(np.full(k, int(np.log(len(s)) / np.log(1.05)), np.uint16))
+                low.append(np.full(k, (int(rare[0]) if len(rare) else 0) & 0xFFFFFFFF, np.uint32))
+            if not sum(map(len, token)):
                 continue
-            t, nd, c = np.concatenate(cold), np.concatenate(cold_node), np.concatenate(cls)
-            where = (t % U(buckets)).astype(np.int64)
+            cols = [np.concatenate(x) for x in (token, node, cls, low)]
+            where = (cols[0] % U(buckets)).astype(np.int64) if buckets else np.full(len(cols[0]), -1)
             order = np.argsort(where, kind="stable")
-            t, nd, c, where = t[order], nd[order], c[order], where[order]
+            where, cols = where[order], [c[order] for c in cols]
             cut = bounds(where)
-            rows = [(0, int(where[i]), t[i:j].tobytes(), nd[i:j].tobytes(), c[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])]
-            t, nd = np.concatenate(hot), np.concatenate(hot_node)
-            if len(t):
-                rows.append((1, -1, t.tobytes(), nd.tobytes(), b""))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names)
+            rows = [(int(where[i]), *[c[i:j].tobytes() for c in cols]) for i, j in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int64()] + [pa.binary()] * 4)], names)
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, PREFIX)
 
@@ -314,22 +326,35 @@ def _joined(column) -> bytes:
 
 
 def block_leaders(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """(leader, node) of the blocks in one or more buckets. Sizes further apart than a link allows split a block."""
+    """(leader, node) of the blocks in one or more buckets. Sizes further apart than a link allows split a block. A
+    block whose nodes have one and the same first rare shingle is left to the block of that shingle: it has them all."""
     t = np.frombuffer(_joined(table.column("token")), np.uint64)
     nd = np.frombuffer(_joined(table.column("node")), np.int64)
     c = np.frombuffer(_joined(table.column("class")), np.uint16).astype(np.int64)
+    m = np.frombuffer(_joined(table.column("least")), np.uint32)
     order = np.lexsort((nd, c, t))
-    t, nd, c = t[order], nd[order], c[order]
+    t, nd, c, m = t[order], nd[order], c[order], m[order]
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (c[1:] - c[:-1] > 5)  # 1.05 ** 5 > 1.25
     at = np.flatnonzero(new)
     length = np.diff(np.append(at, len(t)))
     leader = np.repeat(np.minimum.reduceat(nd, at), length) if len(t) else nd
-    pair = leader != nd
+    alike = np.repeat(np.minimum.reduceat(m, at) == np.maximum.reduceat(m, at), length) if len(t) else nd == nd
+    pair = (leader != nd) & ~(alike & ((t & U(0xFFFFFFFF)).astype(np.uint32) != m))
     found = np.unique(np.stack([leader[pair], nd[pair]]), axis=1)
     yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["leader", "node"])
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The bytes of a binary column without copies."""
+    out = []
+    for c in column.chunks:
+        at = np.frombuffer(c.buffers()[1], np.int32)[c.offset: c.offset + len(c) + 1]
+        data = np.frombuffer(c.buffers()[2] or b"", np.uint8)
+        out += [data[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+    return out
+
+
 def _unpack_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         t, nd = np.frombuffer(_joined(b.column("token")), np.int64), np.frombuffer(_joined(b.column("node")), np.int64)
@@ -356,20 +381,21 @@ def prune(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def verify(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Edges of the spanning forest of each group."""
+    """Edges that connect what each group's verified links connect."""
     leader, node = numpy_of(table.column("leader")), numpy_of(table.column("node"))
     guest, joined = numpy_of(table.column("guest")), numpy_of(table.column("joined"))
-    raw = table.column("set").to_pylist()
+    raw = _views(table.column("set"))
     edges = []
     for a, b in _groups(table):
-        sets = [np.frombuffer(x, np.uint64) for x in raw[a:b]]
+        sets = [x.view(np.uint64) for x in raw[a:b]]
         start = int(np.argmax(node[a:b] == leader[a])) if (node[a:b] == leader[a]).any() else 0
         if guest[a:b].any():
             members = np.flatnonzero(joined[a:b] == 1)
             start = int(members[0]) if len(members) else 0
             links, _ = spanning(sets, start, guest[a:b], members if len(members) else None)
         else:
-            links, _ = spanning(sets, start)
+            _, roots = spanning(sets, start)
+            links = [(i, int(r)) for i, r in enumerate(roots) if i != r]  # a star says the same as the forest
         edges += [(int(node[a + i]), int(node[a + j])) for i, j in links]
     yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
@@ -381,21 +407,18 @@ def _with_sets(members: DataFrame, rep: DataFrame, docs: DataFrame) -> DataFrame
     names = ["leader", "chunk", "guest", "joined", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # ids may repeat, with other texts or the same; equal ids meet in one task
         for b in batches:
-            sets = shingle_sets(utf8(b.column("text")))
+            sets = sets_of(b.column("text"))
             own = np.array([node_id(s) if len(s) else 0 for s in sets], np.int64)
-            right = np.flatnonzero(own == b.column("node").to_numpy(zero_copy_only=False))  # ids may repeat
-            t = b.take(pa.array(right))
+            right = np.flatnonzero(own == b.column("node").to_numpy(zero_copy_only=False)).tolist()
+            place = list(zip(*[b.column(c).to_pylist() for c in names]))
+            right = [i for i in right if place[i] not in seen and not seen.add(place[i])]
+            t = b.select(names).take(pa.array(right, pa.int64()))
             yield pa.RecordBatch.from_arrays([*[t.column(c) for c in names], pa.array([sets[i].tobytes() for i in right], pa.binary())], [*names, "set"])
 
     schema = "leader long, chunk long, guest int, joined int, node long, set binary"
-    full = text.join(wanted, "key").select(*names, "text").mapInArrow(run, schema)
-    return full.dropDuplicates(names) if docs_repeat(rep) else full
-
-
-def docs_repeat(rep: DataFrame) -> bool:
-    """Whether representatives' ids repeat with equal texts, so that a set could arrive twice."""
-    return bool(rep.where("copies > 1").limit(1).count())
+    return text.join(wanted, "key").select(*names, "text").mapInArrow(run, schema)
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -405,17 +428,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialize(node_table(docs), "nodes")
     rows = found.where("kind = 0").select("doc_id", "n_shingles", "node", "vec")
     per = (rows.where("node IS NOT NULL").withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))).groupBy("node")
-           .agg(F.first("vec").alias("vec"), F.first("n_shingles").alias("n"), F.min("key").alias("key"), F.count("*").alias("rows"), F.approx_count_distinct("key").alias("ids")))
-    per = materialize(per.select("node", "vec", "n", "key", F.when(F.col("rows") > F.col("ids"), F.col("rows")).otherwise(1).alias("copies")), "points")
+           .agg(F.first("vec").alias("vec"), F.first("n_shingles").alias("n"), F.min("key").alias("key")))
+    per = materialize(per, "points")
     total = per.agg(F.count("*").alias("nodes"), F.sum("n").alias("n")).head()
     often = found.where("kind = 1").groupBy("node").agg(F.sum("times").alias("t")).where(F.col("t") >= max(4, total.nodes // RARE)).select("node")
     frequent = np.sort(np.array([r.node for r in often.toLocalIterator()], np.int64).view(np.uint64))
     wide = max(tasks, int((total.n or 0) * 0.2 / BUCKET_TOKENS) + 1)
     buckets = 4 * wide  # several a task, so that tasks are even
-    prefix = materialize(prefix_table(docs, frequent, buckets), "prefix") if len(frequent) else prefix_table(docs, frequent, buckets)
-    members = by_runs(prefix.where("kind = 0"), ["bucket"], wide, block_leaders, "leader long, node long")
+    members = by_runs(prefix_table(docs, frequent, buckets), ["bucket"], wide, block_leaders, "leader long, node long")
     if len(frequent):
-        hot = prefix.where("kind = 1").select("token", "node").mapInArrow(_unpack_hot, "token long, node long")
+        hot = materialize(prefix_table(docs, frequent, None).mapInArrow(_unpack_hot, "token long, node long"), "frequent")
         lead = F.broadcast(hot.groupBy("token").agg(F.min("node").alias("leader")))  # a row per frequent shingle
         members = members.union(hot.join(lead, "token").where("leader != node").select("leader", "node"))
     members = materialize(members.distinct(), "members")
@@ -423,7 +445,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = members.join(chunks, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("guest"), F.lit(0).alias("joined"), "node")
     heads = chunks.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("guest"), F.lit(0).alias("joined"), F.col("leader").alias("node"))
     point = per.select("node", "n", "vec")
-    rep = per.select("node", "key", "copies")
+    rep = per.select("node", "key")
     schema = "leader long, chunk long, guest int, joined int, node long"
     keys = ["leader", "chunk"]
 
@@ -441,7 +463,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         hosts = marked.select("leader", "chunk", F.lit(0).alias("guest"), "joined", "node")
         visits = (marked.where("joined = 0").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("`to` != chunk")
                   .select("leader", F.col("to").alias("chunk"), F.lit(1).alias("guest"), F.lit(0).alias("joined"), "node"))
-        edges = edges.union(verified(hosts.union(visits)))
+        edges = root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(hosts.union(visits)))
     return rows.select("doc_id", "n_shingles", "node"), edges
 
 
@@ -456,7 +478,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: the least id of each component stays, rows without shingles all stay."""
+    """The documents without near copies: the least id of each component stays, rows without shingles all stay. Rows
+    that share an id share its fate."""
     found = materialize(classes(docs), "classes")
     stay = found.where("n_shingles = 0 OR doc_id = component_id OR component_id IS NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k")).distinct()
     return docs.select(*DOC_COLUMNS).join(stay, F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("k"), "left_semi")
