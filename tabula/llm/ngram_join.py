@@ -10,14 +10,17 @@ upper corners. Boxes use ``GROUPS`` coordinates; a point has as many groups (a p
 at the coarser of their resolutions. Pairs whose bound misses the requirement are pruned, the rest verified on the sets. One R-tree over a whole corpus would visit nearly every leaf (unrelated documents of one length have nearly
 equal counts), so trees are built inside blocks that no link can leave:
 
-* Prefix rule: with one global order of shingles, linked sets share one among their first size - ceil(0.8 size) + 1
-  shingles. Frequent shingles (at least 1 in ``RARE`` nodes of some batch and of the corpus, hence a bounded list)
-  come last in the order; the rest go by hash.
-* A rare prefix shingle is hashed to a bucket task, which names the least node of its block the leader of the
-  others; a frequent one gets its leader from a grouped minimum. Rows (leader, node) are distinct, so a pair that
-  shares many shingles meets once per leader.
+* Prefix rule: with one global order of shingles, linked sets share one that is among the first
+  size - ceil(8/9 size) + 1 of the smaller set (its index prefix, since the overlap is at least 4/9 of both sizes) and
+  among the first size - ceil(0.8 size) + 1 of the larger one. Frequent shingles (at least 1 in ``RARE`` nodes of some
+  batch and of the corpus, hence a bounded list) come last in the order, the commonest at the end; the rest go by hash.
+* A rare prefix shingle is hashed to a bucket task, which names the least node of its block that has it in the index
+  prefix the leader of the others; a frequent one gets its leader from a grouped minimum. Rows (leader, node) are
+  distinct, so a pair that shares many shingles meets once per leader. Two nodes that have the shingles of a leader
+  only past their index prefixes are not compared there, and a block of such nodes alone is none.
 * Blocks above ``CHUNK`` nodes are cut into chunks that each contain the leader. Nodes that a chunk does not connect
-  to the leader visit all other chunks of the block; the others are connected already, so no pair can be lost.
+  to the leader visit the rest of the block, in groups of about ``CHUNK`` hosts and ``CHUNK`` guests; the others are
+  connected already, so no pair can be lost.
 * Only nodes with a surviving pair ship their sets; a block verifies pairs that are not yet connected and returns a
   spanning forest. Components follow from the forests.
 
@@ -48,6 +51,7 @@ LEAF, FAN = 32, 8
 BUCKET_TOKENS = 400_000
 PIECE = 1 << 18  # bytes of text that are hashed together
 NO_ID = -(1 << 63)
+HOST, GUEST, INDEX, PROBE = range(4)  # roles in a group: a guest meets hosts, an index node meets all, probes only those
 
 U = np.uint64
 _P, _Q = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -154,7 +158,7 @@ def _coarse(points: list[np.ndarray], groups: int) -> np.ndarray:
 
 
 def survivors(points: list[np.ndarray], size: np.ndarray, guest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs whose overlap bound allows a link. With ``guest``, only pairs of a guest and a host."""
+    """Index pairs whose overlap bound allows a link. With ``guest`` (roles), only pairs whose roles meet."""
     x, y = _tree_pairs(_coarse(points, GROUPS), size, guest) if len(size) > 1 else (np.zeros(0, np.int64),) * 2
     groups = np.array([len(p) for p in points], np.int64)
     level = np.minimum(groups[x], groups[y])
@@ -197,7 +201,7 @@ def _tree_pairs(vec: np.ndarray, size: np.ndarray, guest: np.ndarray | None) ->
             ok = (5 * high[x] >= 4 * low[y]) & (5 * high[y] >= 4 * low[x])
             x, y = x[ok], y[ok]
             if depth == 0 and guest is not None:
-                ok = guest[order[x]] != guest[order[y]]
+                ok = (guest[order[x]] != guest[order[y]]) | (guest[order[x]] == INDEX)
                 x, y = x[ok], y[ok]
             for i in range(0, len(x), 1 << 15):
                 p, q = x[i: i + (1 << 15)], y[i: i + (1 << 15)]
@@ -286,13 +290,15 @@ def node_table(docs: DataFrame) -> DataFrame:
 PREFIX = "bucket long, token binary, node binary, class binary, least binary"
 
 
-def prefix_table(docs: DataFrame, frequent: np.ndarray, buckets: int | None) -> DataFrame:
+def prefix_table(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, buckets: int | None) -> DataFrame:
     """The rare prefix shingles of a batch that fall into one bucket, packed; without ``buckets`` the frequent ones
-    instead (bucket -1). A node is emitted once per task. ``least`` has 32 bits of the node's first rare shingle."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most RARE * mean set size shingles
+    instead (bucket -1). ``rank`` orders the frequent shingles. A node is emitted once per task. ``class`` has the
+    node's size class, and in the last bit whether the shingle is in its index prefix; ``least`` has 32 bits of the
+    node's first rare shingle."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))  # at most RARE * mean set size shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, often, seen = [x.split()[0] for x in PREFIX.split(", ")], shared.value, set()
+        names, (often, turn), seen = [x.split()[0] for x in PREFIX.split(", ")], shared.value, set()
         for b in batches:
             token, node, cls, low = [], [], [], []
             for s in sets_of(b.column("text")):
@@ -302,11 +308,12 @@ def prefix_table(docs: DataFrame, frequent: np.ndarray, buckets: int | None) ->
                 at = np.searchsorted(often, s)
                 is_hot = often[np.minimum(at, len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
                 rare = s[~is_hot]
-                p = len(s) - -(-4 * len(s) // 5) + 1
-                token.append(rare[:p] if buckets else s[is_hot][: max(0, p - len(rare))])
+                p, index = len(s) - -(-4 * len(s) // 5) + 1, len(s) - -(-8 * len(s) // 9) + 1
+                token.append(rare[:p] if buckets else s[is_hot][np.argsort(turn[at[is_hot]])][: max(0, p - len(rare))])
                 k = len(token[-1])
                 node.append(np.full(k, i, np.int64))
-                cls.append(np.full(k, int(np.log(len(s)) / np.log(1.05)), np.uint16))
+                place = np.arange(k) + (0 if buckets else len(rare))
+                cls.append((2 * int(np.log(len(s)) / np.log(1.05)) + (place < index)).astype(np.uint16))
                 low.append(np.full(k, (int(rare[0]) if len(rare) else 0) & 0xFFFFFFFF, np.uint32))
             if not sum(map(len, token)):
                 continue
@@ -326,23 +333,27 @@ def _joined(column) -> bytes:
 
 
 def block_leaders(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """(leader, node) of the blocks in one or more buckets. Sizes further apart than a link allows split a block. A
-    block whose nodes have one and the same first rare shingle is left to the block of that shingle: it has them all."""
+    """(leader, node, index) of the blocks in one or more buckets. Sizes further apart than a link allows split a
+    block. Without an index node a block has no pair to compare. A block whose nodes have one and the same first rare shingle is left to the block of that shingle: it has them all."""
     t = np.frombuffer(_joined(table.column("token")), np.uint64)
     nd = np.frombuffer(_joined(table.column("node")), np.int64)
     c = np.frombuffer(_joined(table.column("class")), np.uint16).astype(np.int64)
     m = np.frombuffer(_joined(table.column("least")), np.uint32)
     order = np.lexsort((nd, c, t))
     t, nd, c, m = t[order], nd[order], c[order], m[order]
+    c, index = c >> 1, c & 1
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (c[1:] - c[:-1] > 5)  # 1.05 ** 5 > 1.25
     at = np.flatnonzero(new)
     length = np.diff(np.append(at, len(t)))
-    leader = np.repeat(np.minimum.reduceat(nd, at), length) if len(t) else nd
+    leader = np.repeat(np.minimum.reduceat(np.where(index == 1, nd, np.iinfo(np.int64).max), at), length) if len(t) else nd
+    indexed = np.repeat(np.maximum.reduceat(index, at) == 1, length) if len(t) else nd == nd
     alike = np.repeat(np.minimum.reduceat(m, at) == np.maximum.reduceat(m, at), length) if len(t) else nd == nd
-    pair = (leader != nd) & ~(alike & ((t & U(0xFFFFFFFF)).astype(np.uint32) != m))
-    found = np.unique(np.stack([leader[pair], nd[pair]]), axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["leader", "node"])
+    pair = indexed & (leader != nd) & ~(alike & ((t & U(0xFFFFFFFF)).astype(np.uint32) != m))
+    found = np.unique(np.stack([leader[pair], nd[pair], index[pair]]), axis=1)
+    last = np.ones(found.shape[1], bool)  # the index row of a node that has both
+    last[:-1] = (found[0, 1:] != found[0, :-1]) | (found[1, 1:] != found[1, :-1])
+    yield pa.RecordBatch.from_arrays([pa.array(x[last]) for x in (found[0], found[1], found[2].astype(np.int32))], ["leader", "node", "index"])
 
 
 def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -358,7 +369,8 @@ def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
 def _unpack_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         t, nd = np.frombuffer(_joined(b.column("token")), np.int64), np.frombuffer(_joined(b.column("node")), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(nd)], ["token", "node"])
+        index = (np.frombuffer(_joined(b.column("class")), np.uint16) & 1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(nd), pa.array(index)], ["token", "node", "index"])
 
 
 def _groups(table: pa.Table) -> Iterator[tuple[int, int]]:
@@ -373,7 +385,9 @@ def prune(table: pa.Table) -> Iterator[pa.RecordBatch]:
     vec = [np.frombuffer(v, np.uint8) for v in table.column("vec").to_pylist()]
     kept = []
     for a, b in _groups(table):
-        x, y = survivors(vec[a:b], size[a:b], guest[a:b] if guest[a:b].any() else None)
+        x, y = survivors(vec[a:b], size[a:b], guest[a:b])
+        apart = node[a + x] != node[a + y]  # a node can be guest and host of a group
+        x, y = x[apart], y[apart]
         kept.append(a + np.union1d(x, y))
     at = np.concatenate(kept).astype(np.int64) if kept else np.zeros(0, np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(numpy_of(table.column(c))[at]) for c in ("leader", "chunk", "guest", "joined")] + [pa.array(node[at])],
@@ -389,12 +403,12 @@ def verify(table: pa.Table) -> Iterator[pa.RecordBatch]:
     for a, b in _groups(table):
         sets = [x.view(np.uint64) for x in raw[a:b]]
         start = int(np.argmax(node[a:b] == leader[a])) if (node[a:b] == leader[a]).any() else 0
-        if guest[a:b].any():
+        if guest[a] in (HOST, GUEST):
             members = np.flatnonzero(joined[a:b] == 1)
             start = int(members[0]) if len(members) else 0
             links, _ = spanning(sets, start, guest[a:b], members if len(members) else None)
         else:
-            _, roots = spanning(sets, start)
+            _, roots = spanning(sets, start, guest[a:b])
             links = [(i, int(r)) for i, r in enumerate(roots) if i != r]  # a star says the same as the forest
         edges += [(int(node[a + i]), int(node[a + j])) for i, j in links]
     yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
@@ -421,6 +435,25 @@ def _with_sets(members: DataFrame, rep: DataFrame, docs: DataFrame) -> DataFrame
     return text.join(wanted, "key").select(*names, "text").mapInArrow(run, schema)
 
 
+def visits(marked: DataFrame) -> DataFrame:
+    """Groups of the second round, from (leader, guest, joined, node) of the large blocks: hosts of one chunk and
+    guests of one slice, about ``CHUNK`` of each. Unconnected nodes visit the index nodes; unconnected index nodes
+    also the connected others (those not connected come to them). Of a pair, one is an index node."""
+    def meet(turn: int, hosts: str, guests: str) -> DataFrame:
+        parts = lambda which: (F.floor(F.count(F.when(F.expr(which), 1)) / CHUNK) + 1).cast("long")
+        both = (marked.groupBy("leader").agg(parts(hosts).alias("chunks"), parts(guests).alias("slices"), F.max(F.expr(hosts)).alias("h"), F.max(F.expr(guests)).alias("g"))
+                .where("h AND g").select("leader", "chunks", "slices"))
+        up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        key = (2 * (F.col("c") * F.col("slices") + F.col("s")) + turn).alias("chunk")
+        host = (marked.where(hosts).join(both, "leader").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("s", up_to("slices"))
+                .select("leader", key, F.lit(HOST).alias("guest"), "joined", "node"))
+        guest = (marked.where(guests).join(both, "leader").withColumn("s", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices"))).withColumn("c", up_to("chunks"))
+                 .select("leader", key, F.lit(GUEST).alias("guest"), F.lit(0).alias("joined"), "node"))
+        return host.union(guest)
+
+    return meet(0, f"guest = {INDEX}", "joined = 0").union(meet(1, f"guest = {PROBE} AND joined = 1", f"guest = {INDEX} AND joined = 0"))
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n_shingles, node), (edges a, b between nodes)."""
     spark = docs.sparkSession
@@ -431,19 +464,24 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
            .agg(F.first("vec").alias("vec"), F.first("n_shingles").alias("n"), F.min("key").alias("key")))
     per = materialize(per, "points")
     total = per.agg(F.count("*").alias("nodes"), F.sum("n").alias("n")).head()
-    often = found.where("kind = 1").groupBy("node").agg(F.sum("times").alias("t")).where(F.col("t") >= max(4, total.nodes // RARE)).select("node")
-    frequent = np.sort(np.array([r.node for r in often.toLocalIterator()], np.int64).view(np.uint64))
+    often = found.where("kind = 1").groupBy("node").agg(F.sum("times").alias("t")).where(F.col("t") >= max(4, total.nodes // RARE))
+    listed = np.array([(r.node, r.t) for r in often.toLocalIterator()], np.int64).reshape(-1, 2)
+    frequent, times = listed[:, 0].copy().view(np.uint64), listed[:, 1]
+    by = np.argsort(frequent)
+    frequent, times = frequent[by], times[by]
+    rank = np.argsort(np.lexsort((frequent, times))).astype(np.int32)
     wide = max(tasks, int((total.n or 0) * 0.2 / BUCKET_TOKENS) + 1)
     buckets = 4 * wide  # several a task, so that tasks are even
-    members = by_runs(prefix_table(docs, frequent, buckets), ["bucket"], wide, block_leaders, "leader long, node long")
+    members = by_runs(prefix_table(docs, frequent, rank, buckets), ["bucket"], wide, block_leaders, "leader long, node long, index int")
     if len(frequent):
-        hot = materialize(prefix_table(docs, frequent, None).mapInArrow(_unpack_hot, "token long, node long"), "frequent")
-        lead = F.broadcast(hot.groupBy("token").agg(F.min("node").alias("leader")))  # a row per frequent shingle
-        members = members.union(hot.join(lead, "token").where("leader != node").select("leader", "node"))
-    members = materialize(members.distinct(), "members")
+        hot = materialize(prefix_table(docs, frequent, rank, None).mapInArrow(_unpack_hot, "token long, node long, index int"), "frequent")
+        lead = F.broadcast(hot.where("index = 1").groupBy("token").agg(F.min("node").alias("leader")))  # a row per frequent shingle
+        members = members.union(hot.join(lead, "token").where("leader != node").select("leader", "node", "index"))
+    members = materialize(members.groupBy("leader", "node").agg(F.max("index").alias("index")), "members")
     chunks = members.groupBy("leader").agg((F.floor(F.count("*") / CHUNK) + 1).cast("long").alias("chunks"))
-    placed = members.join(chunks, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("guest"), F.lit(0).alias("joined"), "node")
-    heads = chunks.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("guest"), F.lit(0).alias("joined"), F.col("leader").alias("node"))
+    role = F.when(F.col("index") == 1, INDEX).otherwise(PROBE)
+    placed = members.join(chunks, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), role.alias("guest"), F.lit(0).alias("joined"), "node")
+    heads = chunks.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(INDEX).alias("guest"), F.lit(0).alias("joined"), F.col("leader").alias("node"))
     point = per.select("node", "n", "vec")
     rep = per.select("node", "key")
     schema = "leader long, chunk long, guest int, joined int, node long"
@@ -455,15 +493,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     edges = verified(placed.union(heads))
     if chunks.where("chunks > 1").limit(1).count():
-        large = materialize(placed.join(chunks.where("chunks > 1"), "leader"), "large")
+        large = materialize(placed.join(chunks.where("chunks > 1"), "leader", "left_semi"), "large")
         root = components(edges)
         of = lambda node, out: root.select(F.col("node").alias(node), F.col("root").alias(out))
         marked = (large.join(of("node", "r"), "node", "left").join(of("leader", "lr"), "leader", "left")
-                  .withColumn("joined", (F.coalesce("r", "node") == F.coalesce("lr", "leader")).cast("int")))
-        hosts = marked.select("leader", "chunk", F.lit(0).alias("guest"), "joined", "node")
-        visits = (marked.where("joined = 0").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("`to` != chunk")
-                  .select("leader", F.col("to").alias("chunk"), F.lit(1).alias("guest"), F.lit(0).alias("joined"), "node"))
-        edges = root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(hosts.union(visits)))
+                  .withColumn("joined", (F.coalesce("r", "node") == F.coalesce("lr", "leader")).cast("int"))
+                  .select("leader", "guest", "joined", "node"))
+        edges = root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(visits(materialize(marked, "marked"))))
     return rows.select("doc_id", "n_shingles", "node"), edges
 
 

@@ -214,6 +214,43 @@ def test_components_match_brute_force(spark, monkeypatch, chunk, rare):
     assert sorted(kept) == sorted({c for _, _, c in naive_components(rows)})
 
 
+def pages(rnd, n, own):
+    """Pages of one template of 430 words, each with ``own`` words of its own."""
+    template = prose(rnd, 430, 9000)
+    return [f"{template} " + " ".join(f"o{rnd.randrange(10 ** 9)}" for _ in range(own(rnd))) for _ in range(n)]
+
+
+def test_template_pages_below_the_threshold_do_not_meet(spark, monkeypatch):
+    """86% of the shingles are shared by all pages, which is a likeness of 0.75: no link, and no pairs to compare."""
+    met, by_runs = [], ngram_join.by_runs
+
+    def counted(df, keys, tasks, fn, *more):
+        if fn is ngram_join.prune:
+            met.append(df.count())
+        return by_runs(df, keys, tasks, fn, *more)
+
+    monkeypatch.setattr(ngram_join, "CHUNK", 16)
+    monkeypatch.setattr(ngram_join, "RARE", 16)
+    monkeypatch.setattr(ngram_join, "by_runs", counted)
+    rows = list(enumerate(pages(random.Random(21), 240, lambda r: 70)))
+    got = rows_of(ngram_join.classes(docs_of(spark, [(i, t, "en", "a") for i, t in rows])), "doc_id", "component_id")
+    assert sorted(got) == [(i, i) for i, _ in rows]
+    assert sum(met) < len(rows)
+
+
+def test_template_pages_around_the_threshold_match_brute_force(spark, monkeypatch):
+    """Some pages link, some do not, some only to shorter ones; guests and hosts are both cut into slices."""
+    rnd = random.Random(22)
+    texts = pages(rnd, 90, lambda r: r.randrange(110)) + pages(rnd, 60, lambda r: r.choice([0, 40, 60, 95]))
+    texts += [t + f" z{i}" for i, t in enumerate(texts[::7])]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    monkeypatch.setattr(ngram_join, "RARE", 16)
+    got = rows_of(ngram_join.classes(docs_of(spark, [(i, t, "en", "a") for i, t in rows])), "doc_id", "n_shingles", "component_id")
+    assert sorted(got) == naive_components(rows)
+
+
 def test_tree_keeps_every_pair_the_bound_allows():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 2 ** 63, rng.integers(1, 900), dtype=np.uint64)) for _ in range(150)]
