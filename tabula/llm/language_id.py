@@ -4,9 +4,11 @@ A text is the average of the embeddings of its byte n-grams (hashed into ``BUCKE
 linear map of it; embeddings and map are trained together by stochastic gradient descent in numpy. Since all of it is
 linear up to the softmax, prediction looks every n-gram up in one table of class logits and averages.
 
-Training reads a bounded sample: at most about ``TRAIN_DOCS`` labelled documents drawn by a hash of their id (texts and
-languages only). A fifth of them calibrates: a temperature for the probabilities and the least confidence at which
-the accepted predictions reach ``TRUST``; predictions below it are flagged as not accepted.
+Training reads a bounded sample, drawn by a hash of the id (texts and languages only): every language is cut at one
+level so that about ``TRAIN_DOCS`` labelled documents remain, but not below ``LEAST`` a language, so that no language is
+lost. A fifth of each language calibrates: a temperature for the probabilities and the least confidence at which the
+accepted predictions reach ``TRUST``; there, each text weighs as many as it stands for. Predictions below it are
+flagged as not accepted.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a row without an id is never held out and
 never trained on; with no labelled document everything is ``und``; a single language gets score 1.
@@ -30,6 +32,7 @@ BUCKETS = 1 << 15
 DIM = 16
 ORDERS = (2, 3, 4)
 TRAIN_DOCS = 3000  # bound of the labelled sample that reaches the driver
+LEAST = 100  # texts of a language that are always allowed
 EPOCHS, BATCH, RATE = 5, 32, 40.0
 TRUST = 0.995
 FOLDS, HELD_OUT = 4, 2
@@ -112,15 +115,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], labels: list[str], seed: int = 7) -> Model | None:
-    """Stochastic gradient descent on the embeddings and the map, then calibration on every fifth text."""
+def train(texts: list[bytes], labels: list[str], cost: np.ndarray | None = None, seed: int = 7) -> Model | None:
+    """Stochastic gradient descent on the embeddings and the map, then calibration on every fifth text of a language.
+    ``cost``: how many labelled texts each sampled one stands for."""
     classes = sorted(set(labels))
     if not classes:
         return None
     y, rows = np.searchsorted(classes, labels), features(texts)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
-    calibration, fit = order[::5] if len(order) >= 10 else order, order[np.arange(len(order)) % 5 != 0] if len(order) >= 10 else order
+    calibration = fit = order
+    if len(order) >= 10:
+        held = np.zeros(len(order), bool)
+        for k in range(len(classes)):  # languages with five texts are in both parts, others are learned only
+            own = order[y[order] == k]
+            held[own[::5] if len(own) >= 5 else []] = True
+        calibration, fit = order[held[order]] if held.any() else order, order[~held[order]]
+    parts = [fit[y[fit] == k] for k in np.unique(y[fit])]  # small languages are repeated, so that they are learned too
+    fit = np.concatenate([np.resize(own, max(len(own), min(LEAST, max(map(len, parts))))) for own in parts])
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(classes)), np.float32), np.zeros(len(classes), np.float32)
     out += rng.normal(0, 1 / DIM ** 0.5, out.shape).astype(np.float32)
@@ -143,24 +155,42 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> Model | None:
     table = np.vstack([emb @ out, np.zeros((1, len(classes)), np.float32)])
     z = np.vstack([rows[i][1] @ table[rows[i][0]] + bias for i in calibration]).astype(np.float64)
     truth = y[calibration]
+    stands = (np.ones(len(y)) if cost is None else np.asarray(cost, float))[calibration]
     warm = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in warm]
+    loss = [-np.average(np.log(softmax(z / t)[np.arange(len(truth)), truth] + 1e-12), weights=stands) for t in warm]
     temperature = float(warm[int(np.argmin(loss))])
     p = softmax(z / temperature)
     top, right = p.max(axis=1), p.argmax(axis=1) == truth
     by = np.argsort(-top)
-    trusted = np.flatnonzero(np.cumsum(right[by]) >= TRUST * np.arange(1, len(by) + 1))
+    trusted = np.flatnonzero(np.cumsum((right * stands)[by]) >= TRUST * np.cumsum(stands[by]))
     return Model(classes, table, bias, temperature, float(top[by][trusted[-1]]) if len(trusted) else 1.0)
 
 
-def training_sample(docs: DataFrame) -> tuple[list[bytes], list[str]]:
-    """About ``TRAIN_DOCS`` labelled documents outside the held-out fold, drawn by a hash of the id."""
+def rates(counts: dict[str, int]) -> dict[str, float]:
+    """Share of each language to draw: the level that leaves ``TRAIN_DOCS`` in all, and at least ``LEAST`` of each."""
+    level, left = 0.0, TRAIN_DOCS
+    for i, n in enumerate(sorted(counts.values())):
+        level = left / (len(counts) - i)
+        if n > level:
+            break
+        level, left = n, left - n
+    return {k: min(1.0, max(level, LEAST) / n) for k, n in counts.items()}
+
+
+def training_sample(docs: DataFrame) -> tuple[list[bytes], list[str], np.ndarray]:
+    """Texts, languages and inverse sampling rates of labelled documents outside the held-out fold, drawn by a hash of
+    the id per language."""
     pool = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     pool = pool.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold_of(F.col("doc_id")) != HELD_OUT))
-    n = pool.count()
-    rows = pool.where(uniform01("doc_id", "lang-train") < TRAIN_DOCS / max(n, 1)).select("doc_id", "text", "lang").limit(2 * TRAIN_DOCS).collect()
+    counts = {r.lang: r.n for r in pool.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per class of the model
+    rate = rates(counts)
+    cut = [F.lit(x) for k, v in rate.items() if v < 1 for x in (k, v)]
+    if cut:
+        pool = pool.where(uniform01("doc_id", "lang-train") < F.coalesce(F.element_at(F.create_map(*cut), F.col("lang")), F.lit(1.0)))
+    most = 2 * int(sum(v * counts[k] for k, v in rate.items())) + 100  # repeated ids are drawn together
+    rows = pool.select("doc_id", "text", "lang").limit(most).collect()
     rows = sorted((r for r in rows if has_letter(r.text)), key=lambda r: (r.doc_id, r.lang, r.text))
-    return [lowered(r.text) for r in rows], [r.lang for r in rows]
+    return [lowered(r.text) for r in rows], [r.lang for r in rows], np.array([1 / rate[r.lang] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -394,6 +394,24 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([r.lang_pred == r.lang for r in held if r.accepted]) >= np.mean([r.lang_pred == r.lang for r in held])
 
 
+def test_rare_languages_are_not_lost(spark, monkeypatch):
+    """A few texts of one language among many of others are all drawn, learned and found again."""
+    rnd = random.Random(31)
+    words = {la: ["".join(rnd.choice(letters) for _ in range(rnd.randrange(3, 8))) for _ in range(60)] for la, letters in (("aa", "abcdefg"), ("bb", "hijklmn"), ("cc", "opqrstu"))}
+    langs = ["aa"] * 900 + ["bb"] * 900 + ["cc"] * 12
+    rows = [(i, " ".join(rnd.choice(words[la]) for _ in range(30)), la, "a") for i, la in enumerate(langs)]
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 60)
+    d = docs_of(spark, rows)
+    pool = d.where(language_id.fold_of(F.col("doc_id")) != language_id.HELD_OUT)
+    texts, labels, cost = language_id.training_sample(d)
+    drawn = Counter(labels)
+    assert drawn["cc"] == pool.where("lang = 'cc'").count() and 0 < max(drawn["aa"], drawn["bb"]) < 200
+    for la in ("aa", "bb", "cc"):
+        assert abs(sum(c for c, x in zip(cost, labels) if x == la) / pool.where(F.col("lang") == la).count() - 1) < 0.4
+    got = language_id.predict(d, language_id.train(texts, labels, cost)).where("lang_pred = 'cc'").count()
+    assert got == 12
+
+
 def test_language_edges(spark, edge, none):
     model = language_id.train([b"the cat and the dog"] * 8 + ["der hund und die katze".encode()] * 8, ["en"] * 8 + ["de"] * 8)
     got = language_id.predict(edge, model).collect()
