@@ -14,11 +14,14 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import SparkContext
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabula.operators import metrics
+from tabula.session import materialize
 
 # The reference's discrete search spaces (configuration input of the randomized search).
 SEARCH_SPACES = {
@@ -170,30 +173,54 @@ def cv_summary(cv: DataFrame, keys: Sequence[str] = ("model",), value: str = "f1
 
 # ---------------------------------------------------------------- T3-T6
 
-def holdout_search(train: DataFrame, valid: DataFrame, estimator_fn: Callable[[dict, str | None], object],
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The boosted model of the first ``n`` trees."""
+    sc = SparkContext._active_spark_context
+    java, gateway = model._java_obj, sc._gateway
+    trees, weights = java.trees(), java.treeWeights()
+    kept = gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    paces = gateway.new_array(sc._jvm.double, n)
+    for i in range(n):
+        kept[i], paces[i] = trees[i], weights[i]
+    short = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), kept, paces, java.numFeatures())
+    return model._copyValues(GBTClassificationModel(short))
+
+
+def best_prefix(losses: Sequence[float], patience: int = 10) -> int:
+    """Rounds up to the least loss, looked for until ``patience`` rounds bring no lower one."""
+    best = 0
+    for i, x in enumerate(losses):
+        if x < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def holdout_search(train: DataFrame, valid: DataFrame, estimator_fn: Callable[[dict], object],
                    space: Mapping[str, tuple], max_evals: int = 20, seed: int = 42, label: str = "label",
-                   parallelism: int = 4, model_name: str = "model"):
-    """Sampled hold-out search: each trial fits with early stopping on ``valid`` (validation indicator
-    column), is scored by weighted F1 on ``valid``; the best configuration is refit on ``train``
-    without early stopping. ``estimator_fn(params, validation_col)`` builds the estimator.
-    Returns (best_model, best_params, trials DataFrame)."""
+                   parallelism: int = 4, model_name: str = "model",
+                   resample: Callable[[DataFrame], DataFrame] | None = None, patience: int = 10):
+    """Sampled hold-out search: each trial fits all rounds on ``train`` (after ``resample``, e.g. SMOTE), keeps the
+    rounds up to the least loss on ``valid`` (``patience`` rounds without a lower one end it) and is scored there by
+    weighted F1; the best configuration is refit on the same rows without early stopping. Returns (best_model,
+    best_params, trials DataFrame)."""
     spark = train.sparkSession
     trials = sample_space(space, max_evals, seed)
-    both = train.withColumn("is_val", F.lit(False)).unionByName(valid.withColumn("is_val", F.lit(True))).cache()
+    rows_ = materialize(resample(train), "resampled") if resample else train
 
     def run(t):
-        model = estimator_fn(trials[t], "is_val").fit(both)
-        out = model.transform(valid).select(F.col(label).alias("label"), F.col("prediction").cast("int").alias("prediction"))
-        return t, weighted_f1(out), getattr(model, "getNumTrees", None)
+        model = estimator_fn(trials[t]).fit(rows_)
+        n = best_prefix(model.evaluateEachIteration(valid), patience)
+        out = first_trees(model, n).transform(valid).select(F.col(label).alias("label"), F.col("prediction").cast("int").alias("prediction"))
+        return t, weighted_f1(out), n
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         res = list(pool.map(run, range(len(trials))))
-    both.unpersist()
-    rows = [(model_name, t, json.dumps(trials[t], sort_keys=True), float(f1), int(nt) if isinstance(nt, int) else None)
-            for t, f1, nt in res]
+    rows = [(model_name, t, json.dumps(trials[t], sort_keys=True), float(f1), n) for t, f1, n in res]
     table = spark.createDataFrame(rows, "model string, trial int, params string, f1 double, n_trees int")
     best_t = max(res, key=lambda r: (r[1], -r[0]))[0]
-    best_model = estimator_fn(trials[best_t], None).fit(train)
+    best_model = estimator_fn(trials[best_t]).fit(rows_)
     return best_model, trials[best_t], table
 
 

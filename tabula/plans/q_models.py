@@ -184,14 +184,11 @@ def q_random_search(spark, sf):
     return summary
 
 
-def _holdout(spark, sf, profile, max_evals=2):
+def _holdout(spark, sf, profile, max_evals=20):
     p = prepare(spark, sf)
-
-    def est(params, val_col):
-        return models.gbt(profile, params, validation_col=val_col)
-    best, params, trials = search.holdout_search(p.part("train"), p.part("validation"), est,
+    best, params, trials = search.holdout_search(p.part("train"), p.part("validation"), lambda c: models.gbt(profile, c),
                                                  search.HOLDOUT_SPACES[profile], max_evals=max_evals,
-                                                 model_name=f"GBT-{profile}")
+                                                 model_name=f"GBT-{profile}", resample=smote_prepared)
     return trials
 
 

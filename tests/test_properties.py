@@ -100,3 +100,35 @@ def test_exact_quantiles_band_path_matches_percentile(spark):
     ref = li.agg(*[F.percentile(F.col(c).cast("double"), list(probs)).alias(c) for c in cols]).first()
     for c in cols:
         assert got[c] == pytest.approx(list(ref[c]), rel=1e-12, abs=1e-9)
+
+
+def test_holdout_search_keeps_the_best_prefix(spark):
+    """A label that one tree of depth 1 hardly helps: the trial goes on until patience ends, on resampled rows."""
+    import inspect
+
+    from pyspark.ml.linalg import Vectors
+
+    from tabula.operators import search
+    from tabula.plans import q_models
+
+    rng = np.random.default_rng(5)
+    x = rng.uniform(size=(800, 3))
+    y = ((x.sum(axis=1) > 1.5) ^ (rng.uniform(size=800) < 0.1)).astype(int)
+    data = spark.createDataFrame([(i, float(c), Vectors.dense(v)) for i, (v, c) in enumerate(zip(x.tolist(), y))], ["row_id", "label", "features"])
+    train, valid = data.where("row_id < 500").cache(), data.where("row_id >= 500").cache()
+    seen = []
+
+    def resampled(df):
+        seen.append(df.count())
+        return df.union(df.where("label = 1"))
+
+    est = lambda c: models.gbt("A", {"max_depth": 1, "learning_rate": 0.1, **c})
+    model, params, trials = search.holdout_search(train, valid, est, {"n_estimators": ("quniform", 40, 40, 1)}, max_evals=1, resample=resampled)
+    row = trials.head()
+    losses = est({"n_estimators": 40}).fit(resampled(train)).evaluateEachIteration(valid)
+    assert seen[0] == 500 and model.getNumTrees == 40
+    assert row.n_trees == search.best_prefix(losses) > 10 and row.f1 > 0.6
+    short = search.first_trees(model, 3)
+    assert short.getNumTrees == 3 and np.isclose(short.evaluateEachIteration(valid)[2], model.evaluateEachIteration(valid)[2])
+    assert search.best_prefix([5, 4, 3] + [3.5] * 10 + [1]) == 3 and search.best_prefix([5, 4, 3] + [3.5] * 9 + [1]) == 13
+    assert inspect.signature(q_models._holdout).parameters["max_evals"].default == 20
