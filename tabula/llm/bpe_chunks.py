@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabula.llm.common import documents, register
-from tabula.llm.units import Index, Ragged, encode_fresh, units
+from tabula.llm.units import Memory, encode_fresh, units
 from tabula.session import materialize
 
 WINDOW = 32        # bytes of the rolling hash, a power of two
@@ -53,8 +53,7 @@ AHEAD = 48         # bytes past a join that are encoded first
 SEEN = 1_000_000   # digests of texts that a task remembers
 BATCH = 128        # texts handled at once
 GROUP = 32         # pieces of a text that are encoded together
-UNITS = 400_000    # units whose tokens a worker remembers, and their characters
-UNIT_BYTES = 1 << 24
+UNITS = 400_000    # units whose tokens a worker remembers
 
 
 def vocabulary_path() -> str:
@@ -94,8 +93,8 @@ class Coder:
         self.splits = re.compile(b"|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.width = np.array([len(b) for b in self.bytes_of], np.int64)
         self.kind = np.dtype("<u2" if len(self.bytes_of) <= 1 << 16 else "<u4")
-        self.decimal = [str(i) for i in range(len(self.bytes_of))]
-        self.forget()
+        self.decimal = np.array([f"{i}," for i in range(len(self.bytes_of))], "S").view(np.uint8).reshape(len(self.bytes_of), -1)
+        self.memory = Memory(UNITS, self.kind, bool)
 
     def segments(self, data: bytes) -> list[tuple[int, int, int | None]]:
         """(start, end, id of the added token behind it or None) of the parts between added tokens."""
@@ -105,11 +104,6 @@ class Coder:
             start = m.end()
         return [*out, (start, len(data), None)]
 
-    def forget(self) -> None:
-        """Empty the memory of units."""
-        self.index, self.held = Index(), 0
-        self.tokens, self.word_starts = Ragged(self.kind), Ragged(bool)
-
     def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and a flag per token that starts a pre-token."""
         e = self.inner.encode(text, add_special_tokens=False)
@@ -118,24 +112,28 @@ class Coder:
 
     def encode(self, parts: list[bytes]) -> list[Piece]:
         """Tokens of stretches of text, each as if it stood alone. Units met before are looked up."""
-        if len(self.index) > UNITS or self.held > UNIT_BYTES:
-            self.forget()
-        index, numbers = self.index, []
+        self.memory.thin()
+        index, numbers = self.memory.index, []
         for p in parts:
             u = units(p.decode())
-            numbers.append([index[(u[0],)], *[index[x] for x in u[1:]]])
+            u[0] = (u[0],)
+            numbers.append(np.fromiter(map(index.__getitem__, u), np.int64, len(u)))
         if index.fresh:
-            self.held += sum(map(len, index.fresh))
-            for lengths, ids, starts in encode_fresh(index.fresh, self._encode, self.width):
-                self.tokens.extend(lengths, ids)
-                self.word_starts.extend(lengths, starts)
+            for learned in encode_fresh(index.fresh, self._encode, self.width):
+                self.memory.learn(*learned)
             index.fresh = []
-        out = []
-        for n in numbers:
-            at = self.tokens.places(np.array(n, np.int64))
-            out.append(Piece(self, self.tokens.flat[at], self.word_starts.flat[at]))
+        out, (tokens, starts) = [], self.memory.tables
+        for rows in numbers:
+            self.memory.touch(rows)
+            at = tokens.places(rows)
+            out.append(Piece(self, tokens.flat[at], starts.flat[at]))
         return out
 
+    def listed(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by commas."""
+        digits = self.decimal[ids]
+        return digits[digits != 0].tobytes()[:-1]
+
     def decode(self, ids: np.ndarray) -> bytes:
         table = self.bytes_of
         return b"".join([table[i] for i in ids.tolist()])
@@ -424,7 +422,7 @@ def code_texts(texts: DataFrame, spec, digests: bool) -> DataFrame:
         n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
         for a in arrays:
             if len(a):
-                ids.update((b"," if n else b"") + ",".join([own.decimal[i] for i in a.tolist()]).encode())
+                ids.update((b"," if n else b"") + own.listed(a))
                 decoded.update(own.decode(a))
                 n += len(a)
         return n, ids.hexdigest(), decoded.hexdigest()

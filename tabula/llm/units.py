@@ -84,6 +84,44 @@ class Ragged:
     def take(self, rows: np.ndarray) -> np.ndarray:
         return self.flat[self.places(rows)]
 
+    def only(self, rows: np.ndarray) -> Ragged:
+        """A list of these rows."""
+        out = Ragged(self.flat.dtype)
+        out.extend(self.lengths(rows), self.take(rows))
+        return out
+
+
+class Memory:
+    """Units and their tokens, at most ``limit`` of them; the least used half goes when it is full."""
+
+    def __init__(self, limit: int, *kinds):
+        self.limit, self.index, self.hits = limit, Index(), Growing(np.int32)
+        self.tables = [Ragged(k) for k in kinds]
+
+    def thin(self) -> None:
+        """Make room where it is needed. Call it between look-ups: numbers of units change."""
+        n = len(self.index)
+        if n <= self.limit:
+            return
+        hits = self.hits.data[:n]
+        keep = np.sort(np.argsort(-hits, kind="stable")[: n // 2])
+        keep = keep[hits[keep] > 1]
+        names, self.index = list(self.index), Index()
+        for i, k in enumerate(keep.tolist()):
+            self.index[names[k]] = i
+        self.tables = [t.only(keep) for t in self.tables]
+        self.hits = Growing(np.int32)
+        self.hits.extend(hits[keep] // 2)
+
+    def learn(self, lengths: np.ndarray, *flat: np.ndarray) -> None:
+        """Tokens of the next fresh units."""
+        for t, f in zip(self.tables, flat):
+            t.extend(lengths, f)
+        self.hits.extend(np.zeros(len(lengths), np.int32))
+
+    def touch(self, numbers: np.ndarray) -> None:
+        np.add.at(self.hits.data, numbers, 1)
+
 
 def standing_alone(text: str) -> bool:
     """Whether a unit, with its leading space, can be followed by another one without a change."""
