@@ -5,10 +5,10 @@ they stand. Chunks are known by a 64-bit hash; one that occurs at two places of
 that owns its first occurrence (the least hash of a place), and its tokens go to every text that holds it. What lies
 between shared chunks is encoded where it stands.
 
-A chunk alone is not split like the same bytes inside a text, but the split into pre-tokens only looks ahead, a few
-characters, so two splits that meet at one boundary agree from there on. Joins are repaired by that: from the last
-boundary of the left piece that its end cannot have changed, the text is encoded anew across the join until a boundary
-is also one of the next piece; where none is, the stretch is doubled, up to the end of the text.
+A chunk alone is not split like the same bytes inside a text, but encodings that both start a unit (see
+:mod:`tabula.llm.units`) at one place agree from there on. Joins are repaired by that: from the last unit of the left
+piece, the text is encoded anew across the join until it starts a unit where the next piece starts one too; where none
+does, the stretch is doubled, up to the end of the text.
 
 Added tokens (special strings) cut a text first, as the tokenizer does; the parts between them are texts of their own.
 Tokens of shared chunks are decoded and compared with the chunk's bytes before use, so equal hashes of different chunks
@@ -27,8 +27,6 @@ a long text is coded ``RUN`` bytes at a time; an empty table gives an empty resu
 from __future__ import annotations
 
 import hashlib
-import json
-import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabula.llm.common import documents, register
-from tabula.llm.units import Memory, encode_fresh, units
+from tabula.llm.units import ByteLevelBpe, starts_unit
 from tabula.session import materialize
 
 WINDOW = 32        # bytes of the rolling hash, a power of two
@@ -48,12 +46,9 @@ LONGEST = 8192     # bytes of a chunk, at most
 CUT_BITS = 9       # a cut every 2^9 bytes on average beyond the shortest
 RUN = 1 << 15      # bytes of a stretch without shared chunks that are encoded in one call
 BLOCK = 1 << 20    # bytes whose rolling hashes are held at once
-SLACK = 12         # bytes after a boundary that decide it: at most three characters
 AHEAD = 48         # bytes past a join that are encoded first
 SEEN = 1_000_000   # digests of texts that a task remembers
 BATCH = 128        # texts handled at once
-GROUP = 32         # pieces of a text that are encoded together
-UNITS = 400_000    # units whose tokens a worker remembers
 
 
 def vocabulary_path() -> str:
@@ -62,39 +57,18 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
-class Coder:
-    """The tokenizer of one file, with the bytes of every token."""
+class Coder(ByteLevelBpe):
+    """The tokenizer of one file, over bytes."""
 
     def __init__(self, spec: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-        from tokenizers import Tokenizer
-
-        told = json.loads(spec)
-        before = told["pre_tokenizer"] or {}
-        if (told["normalizer"] is not None or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex")
-                or told["model"]["type"] != "BPE" or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"])):
-            raise ValueError("only byte-level BPE without normalizer, with literal added tokens, is supported")
-        self.inner = Tokenizer.from_str(json.dumps(told | {"truncation": None, "padding": None, "post_processor": None}))
-        self.inner.encode_special_tokens = True  # added tokens are cut out before
-        alphabet, words = byte_alphabet(), self.inner.get_vocab(with_added_tokens=False)
-        self.bytes_of = [b""] * (max([*words.values(), *[t["id"] for t in told["added_tokens"]]]) + 1)
-        for word, i in words.items():
-            self.bytes_of[i] = bytes(alphabet[c] for c in word) if all(c in alphabet for c in word) else word.encode()
-        self.added = {t["content"].encode(): t["id"] for t in told["added_tokens"]}
-        for content, i in self.added.items():
-            self.bytes_of[i] = content
+        super().__init__(spec)
         self.splits = re.compile(b"|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.width = np.array([len(b) for b in self.bytes_of], np.int64)
         self.kind = np.dtype("<u2" if len(self.bytes_of) <= 1 << 16 else "<u4")
         self.decimal = np.array([f"{i}," for i in range(len(self.bytes_of))], "S").view(np.uint8).reshape(len(self.bytes_of), -1)
-        self.memory = Memory(UNITS, self.kind, bool)
+
+    def encode(self, data: bytes) -> Piece:
+        """Tokens of a stretch of text as if it stood alone."""
+        return Piece(self, data, np.array(self.ids(data.decode()), self.kind))
 
     def segments(self, data: bytes) -> list[tuple[int, int, int | None]]:
         """(start, end, id of the added token behind it or None) of the parts between added tokens."""
@@ -104,31 +78,6 @@ class Coder:
             start = m.end()
         return [*out, (start, len(data), None)]
 
-    def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and a flag per token that starts a pre-token."""
-        e = self.inner.encode(text, add_special_tokens=False)
-        words = np.array(e.word_ids, np.int64)
-        return np.array(e.ids, self.kind), np.append(np.ones(min(1, len(words)), bool), words[1:] != words[:-1])
-
-    def encode(self, parts: list[bytes]) -> list[Piece]:
-        """Tokens of stretches of text, each as if it stood alone. Units met before are looked up."""
-        self.memory.thin()
-        index, numbers = self.memory.index, []
-        for p in parts:
-            u = units(p.decode())
-            u[0] = (u[0],)
-            numbers.append(np.fromiter(map(index.__getitem__, u), np.int64, len(u)))
-        if index.fresh:
-            for learned in encode_fresh(index.fresh, self._encode, self.width):
-                self.memory.learn(*learned)
-            index.fresh = []
-        out, (tokens, starts) = [], self.memory.tables
-        for rows in numbers:
-            self.memory.touch(rows)
-            at = tokens.places(rows)
-            out.append(Piece(self, tokens.flat[at], starts.flat[at]))
-        return out
-
     def listed(self, ids: np.ndarray) -> bytes:
         """The ids in decimal, joined by commas."""
         digits = self.decimal[ids]
@@ -146,40 +95,25 @@ def coder(spec: bytes) -> Coder:
 
 
 class Piece:
-    """Tokens of a stretch of text that was encoded alone; ``words``: a flag per token that starts a pre-token."""
+    """Tokens of a stretch of text that was encoded alone."""
 
-    def __init__(self, own: Coder, ids: np.ndarray, words: np.ndarray):
-        self.ids, self.words = ids, words
+    def __init__(self, own: Coder, data: bytes, ids: np.ndarray):
+        self.data, self.ids = data, ids
         self.ends = np.cumsum(own.width[ids])
 
-    def starts(self, k: int) -> bool:
-        """Whether token k starts a pre-token (the end counts as a start)."""
-        return k == 0 or k == len(self.ids) or bool(self.words[k])
-
     def settled(self, k: int) -> int:
-        """The last start at or behind token k that what follows the piece cannot have moved."""
-        if not len(self.ids):
-            return k
-        j = int(np.searchsorted(self.ends, self.ends[-1] - SLACK, "right"))  # tokens that end early enough
-        while j > k and not self.starts(j):
-            j -= 1
-        return max(j, k)
+        """The last token behind token k that starts a unit; k if there is none."""
+        at, floor = len(self.data), int(self.ends[k - 1]) if k else 0
+        while True:
+            at = self.data.rfind(b" ", floor + 1, at)
+            if at < 0:
+                return k
+            if starts_unit(self.data, at):
+                return int(np.searchsorted(self.ends, at)) + 1
 
     def at(self, offset: int) -> int | None:
-        """The token that starts a pre-token at this byte, None if there is none."""
-        if offset == 0:
-            return 0
-        k = int(np.searchsorted(self.ends, offset)) + 1
-        return k if k <= len(self.ids) and self.ends[k - 1] == offset and self.starts(k) else None
-
-    def packed(self) -> bytes:
-        return len(self.ids).to_bytes(4, "little") + self.ids.tobytes() + np.packbits(self.words).tobytes()
-
-
-def unpacked(own: Coder, data: bytes) -> Piece:
-    n = int.from_bytes(data[:4], "little")
-    ids = np.frombuffer(data, own.kind, n, 4)
-    return Piece(own, ids, np.unpackbits(np.frombuffer(data, np.uint8, -1, 4 + n * own.kind.itemsize), count=n).astype(bool))
+        """The token that starts a unit at this byte, None if there is none."""
+        return int(np.searchsorted(self.ends, offset)) + 1 if starts_unit(self.data, offset) else None
 
 
 def mixed(n: int) -> np.ndarray:
@@ -269,7 +203,7 @@ def stretches(data: bytes, ends: list[int], start: int, first: int, shared: dict
 
 
 class Pieces:
-    """The pieces of a segment, encoded a group at a time and forgotten behind the reader."""
+    """The pieces of a segment, encoded when they are read and forgotten behind the reader."""
 
     def __init__(self, own: Coder, data: bytes, parts: list[tuple[int, int, Piece | None]]):
         self.own, self.data, self.parts, self.made = own, data, parts, {}
@@ -278,12 +212,12 @@ class Pieces:
         return len(self.parts)
 
     def __getitem__(self, i: int) -> Piece:
-        a, _, known = self.parts[i]
+        known = self.parts[i][2]
         if known is not None:
             return known
         if i not in self.made:
-            group = [(j, self.data[x:y]) for j, (x, y, p) in enumerate(self.parts[i: i + GROUP], i) if p is None]
-            self.made.update(zip((j for j, _ in group), self.own.encode([d for _, d in group])))
+            a, b, _ = self.parts[i]
+            self.made[i] = self.own.encode(self.data[a:b])
         return self.made[i]
 
     def forget(self, i: int) -> None:
@@ -294,7 +228,7 @@ class Pieces:
 
 def joined(own: Coder, data: bytes, pieces: Pieces) -> Iterator[np.ndarray]:
     """The tokens of contiguous pieces, repaired at their joins."""
-    i, k = 0, 0  # tokens up to token k of piece i are out, and it starts a pre-token of the whole
+    i, k = 0, 0  # tokens up to token k of piece i are out, and it starts a unit of the whole
     while i < len(pieces):
         pieces.forget(i)
         (start, end, _), piece = pieces.parts[i], pieces[i]
@@ -307,8 +241,8 @@ def joined(own: Coder, data: bytes, pieces: Pieces) -> Iterator[np.ndarray]:
         reach, stop = end - at + AHEAD, pieces.parts[-1][1]
         while True:
             to = whole(data, min(at + reach, stop))
-            again = own.encode([data[at:to]])[0]
-            met = _meeting(again, at, to if to == stop else to - SLACK, end, pieces, i + 1)
+            again = own.encode(data[at:to])
+            met = _meeting(again, at, end, pieces, i + 1)
             if met is not None:
                 n, i, k = met
                 yield again.ids[:n]
@@ -319,19 +253,16 @@ def joined(own: Coder, data: bytes, pieces: Pieces) -> Iterator[np.ndarray]:
             reach *= 2
 
 
-def _meeting(again: Piece, at: int, limit: int, end: int, pieces: Pieces, i: int) -> tuple[int, int, int] | None:
-    """The first boundary behind ``end`` that the new encoding shares with a piece: (tokens up to it, piece, its token)."""
-    for n in range(int(np.searchsorted(again.ends, end - at)) + 1, len(again.ids) + 1):
-        x = at + int(again.ends[n - 1])
-        if x > limit:
-            return None
-        if x < end or not again.starts(n):
+def _meeting(again: Piece, at: int, end: int, pieces: Pieces, i: int) -> tuple[int, int, int] | None:
+    """The first unit behind ``end`` that the new encoding and a piece both start a token at: (tokens up to it, piece, its token)."""
+    x = end - at - 1
+    while (x := again.data.find(b" ", x + 1)) >= 0:
+        n = again.at(x)
+        if n is None:
             continue
-        while i < len(pieces) and pieces.parts[i][1] <= x:
+        while i < len(pieces) and pieces.parts[i][1] <= at + x:
             i += 1
-        if i == len(pieces):
-            return None  # the end of the text: the caller takes everything
-        k = pieces[i].at(x - pieces.parts[i][0])
+        k = pieces[i].at(at + x - pieces.parts[i][0]) if i < len(pieces) else None
         if k is not None:
             return n, i, k
     return None
@@ -343,9 +274,9 @@ def code(own: Coder, data: bytes, shared: dict[int, bytes]) -> Iterator[np.ndarr
     known = {}
     for i, (a, b) in enumerate(chunks_of(segments)) if shared else ():
         if i in shared:
-            piece = unpacked(own, shared[i])
-            if own.decode(piece.ids) == data[a:b]:
-                known[i] = piece
+            ids = np.frombuffer(shared[i], own.kind)
+            if own.decode(ids) == data[a:b]:
+                known[i] = Piece(own, data[a:b], ids)
     for start, _, token, ends in segments:
         parts = list(stretches(data, ends, start, number, known))
         number += len(ends)
@@ -404,8 +335,8 @@ def encode_owned(texts: DataFrame, spec) -> DataFrame:
                 mine = owned.as_py()
                 for at in range(0, len(mine), BATCH):
                     some = mine[at: at + BATCH]
-                    pieces = own.encode([data[slice(*places[o["seq"]])] for o in some])
-                    yield pa.RecordBatch.from_arrays([pa.array([o["chunk"] for o in some], pa.int64()), pa.array([p.packed() for p in pieces], pa.binary())], ["c", "tokens"])
+                    pieces = [own.encode(data[slice(*places[o["seq"]])]) for o in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([o["chunk"] for o in some], pa.int64()), pa.array([p.ids.tobytes() for p in pieces], pa.binary())], ["c", "tokens"])
 
     return texts.select("text", "owned").mapInArrow(run, "c long, tokens binary")
 

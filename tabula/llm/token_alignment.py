@@ -29,23 +29,24 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import json
-import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm.bpe_chunks import byte_alphabet, shared_vocabulary
+from tabula.llm.bpe_chunks import shared_vocabulary
 from tabula.llm.common import documents, partitions, register
-from tabula.llm.units import MARK, Memory, encode_fresh, splits_at_spaces, units
+from tabula.llm.units import MARK, ByteLevelBpe, Memory, splits_at_spaces, standing_alone, units
 from tabula.session import materialize
 
 SLICE = 20_000        # units of a text that are aligned at once
-UNITS = 150_000       # units whose alignment a worker remembers
+UNITS = 300_000       # units whose alignment a worker remembers
+RUN = 1 << 15         # characters of new units that are encoded as one text
 PENDING = 2_000_000   # pairs of a block that wait to be counted
 BLOCKS = 2            # blocks a shuffle partition
 GAMMA = 2             # bits of a level for each pair that reaches it
@@ -63,110 +64,129 @@ class Aligner:
     """Two tokenizers and the alignments of the units met so far."""
 
     def __init__(self, a: bytes, b: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        told = json.loads(a)
-        if told["normalizer"] is not None or told["model"]["type"] != "BPE" or (told["pre_tokenizer"] or {}).get("type") != "ByteLevel" or told["pre_tokenizer"].get("add_prefix_space"):
-            raise ValueError("A must be byte-level BPE without normalizer")
-        self.a = Tokenizer.from_str(json.dumps(told | {"truncation": None, "padding": None, "post_processor": None}))
-        self.a.encode_special_tokens = True
-        alphabet = byte_alphabet()
-        self.a_width = np.zeros(self.a.get_vocab_size(), np.int64)
-        for word, i in self.a.get_vocab().items():
-            self.a_width[i] = len(word) if all(c in alphabet for c in word) else len(word.encode())
+
+        self.a = ByteLevelBpe(a)
+        self.a_width = self.a.width
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
         if not splits_at_spaces(pieces):
             raise ValueError("B must have no piece with a space behind another character")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        # per unit: tokens of A, tokens of B, groups, links, whether the bytes agree | pairs and how often | groups in text
-        self.memory = Memory(UNITS, np.int64)
-        self.pairs, self.shown = [], []
-
-    def _encode_a(self, text: str) -> tuple[np.ndarray]:
-        return (np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64),)
-
-    def _align(self, a: np.ndarray, b: list[int], data: bytes) -> tuple[tuple[int, ...], tuple[np.ndarray, np.ndarray], bytes]:
-        if b"".join([self.b_bytes[i] for i in b]) != data:
-            return (0, 0, 0, 0, 0), (np.zeros(0, np.int64), np.zeros(0, np.int64)), b""
-        a_ids, groups, pairs, links = a.tolist(), [], {}, 0
-        i = j = i0 = j0 = end_a = end_b = 0
-        widths, b_bytes = self.a_width[a].tolist(), self.b_bytes
-        while i < len(a_ids):
-            end_a += widths[i]
-            i += 1
-            while end_b < end_a:
-                end_b += len(b_bytes[b[j]])
-                j += 1
-            if end_a == end_b:
-                mine, theirs = a_ids[i0:i], b[j0:j]
-                links += len(mine) * len(theirs)
-                groups.append(",".join(map(str, mine)) + "|" + ",".join(map(str, theirs)))
-                if len(mine) == len(theirs) == 1:
-                    k = mine[0] << 32 | theirs[0]
-                    pairs[k] = pairs.get(k, 0) + 1
-                else:
-                    for x, n in _counted(mine):
-                        for y, m in _counted(theirs):
-                            k = x << 32 | y
-                            pairs[k] = pairs.get(k, 0) + n * m
-                i0, j0 = i, j
-        keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
-        return (len(a_ids), len(b), len(groups), links, 1), (keys, np.fromiter(pairs.values(), np.int64, len(pairs))), ";".join(groups).encode()
-
-    def numbers(self, parts: list) -> np.ndarray:
-        """Numbers of units; new ones are aligned."""
+        self.b_width = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_digits, self.b_digits = decimal(len(self.a_width)), decimal(len(self.b_width))
+        self.memory = Memory(UNITS, np.int64)  # per unit: a key per link
+        self.facts, self.shown = np.zeros((0, 5), np.int64), []  # per unit: tokens of A, of B, groups, links, whether the bytes agree | groups in text
+
+    def _learn(self, run: list[str]) -> None:
+        """Align units that can stand behind each other, as one text; ``run`` has their leading spaces."""
+        data = [u.encode() for u in run]
+        text = "".join(run)
+        a = np.array(self.a.ids(text), np.int64)
+        b = self.b.encode(text[1:], num_threads=1) if MARK not in text else []  # B puts the first space in front itself
+        if b"".join([self.b_bytes[i] for i in b]) != b"".join(data):
+            if len(run) > 1:  # some unit is changed by B: find it
+                for u in run:
+                    self._learn([u])
+            else:
+                self._keep(np.zeros((1, 5), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), [b""])
+            return
+        b = np.array(b, np.int64)
+        ends = np.cumsum(np.array([len(d) for d in data], np.int64))
+        ends_a, ends_b = np.cumsum(self.a_width[a]), np.cumsum(self.b_width[b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)  # ends of the groups; units end at cuts
+        to_a, to_b = np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        # links of a group: every token of A as often as the group has tokens of B
+        times = np.repeat(n_b, n_a)
+        left = np.repeat(a, times)
+        first = np.cumsum(times) - times
+        right = np.arange(len(left)) - np.repeat(first, times) + np.repeat(np.repeat(to_b - n_b, n_a), times)
+        keys = left << 32 | b[right]
+        # groups in text: tokens of A, then of B, with what follows each
+        place_a = np.arange(len(a)) + np.repeat(to_b - n_b, n_a)
+        place_b = np.arange(len(b)) + np.repeat(to_a, n_b)
+        signs = np.full((len(a) + len(b), self.a_digits.shape[1] + 1), 0, np.uint8)
+        signs[place_a, :-1], signs[place_a, -1] = self.a_digits[a], ord(",")
+        signs[place_b, : self.b_digits.shape[1]], signs[place_b, -1] = self.b_digits[b], ord(",")
+        signs[place_a[to_a - 1], -1], signs[place_b[to_b - 1], -1] = ord("|"), ord(";")
+        used = signs != 0
+        written, lengths = signs[used].tobytes(), np.cumsum(used.sum(axis=1))
+        # per unit
+        group = np.searchsorted(cuts, ends) + 1
+        per = lambda upto: np.diff(upto[group - 1], prepend=0)
+        links = per(np.cumsum(n_a * n_b))
+        facts = np.stack([per(to_a), per(to_b), np.diff(group, prepend=0), links, np.ones(len(run), np.int64)], axis=1)
+        stops = lengths[to_a[group - 1] + to_b[group - 1] - 1].tolist()
+        self._keep(facts, links, keys, [written[x:y] for x, y in zip([0, *stops], stops)])
+
+    def _keep(self, facts: np.ndarray, links: np.ndarray, keys: np.ndarray, shown: list[bytes]) -> None:
+        n = len(self.shown)
+        if n + len(facts) > len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros((n + 2 * len(facts) + 1024, 5), np.int64)])
+        self.facts[n: n + len(facts)] = facts
+        self.memory.learn(links, keys)
+        self.shown += shown
+
+    def _learn_fresh(self) -> None:
         index = self.memory.index
-        found = np.fromiter(map(index.__getitem__, parts), np.int64, len(parts))
-        if index.fresh:
-            fresh, index.fresh = index.fresh, []
-            theirs = self.b.encode(fresh, num_threads=1)  # the unit's space is the one that B puts in front
-            at = 0
-            for lengths, ids in encode_fresh(fresh, self._encode_a, self.a_width):
-                ends = np.cumsum(lengths)
-                for start, end in zip((ends - lengths).tolist(), ends.tolist()):
-                    facts, pairs, shown = self._align(ids[start:end], theirs[at], (" " + fresh[at]).encode())
-                    self.memory.learn(np.array([len(facts)]), np.array(facts, np.int64))
-                    self.pairs.append(pairs)
-                    self.shown.append(shown)
-                    at += 1
-        self.memory.touch(found)
-        return found
-
-    def slices(self, text: str) -> Iterator[np.ndarray]:
-        """Unit numbers of a text, some at a time. They hold until the next slice."""
-        parts = units(" " + text)
-        parts = [parts[0][1:], *parts[1:]]  # the first unit starts with the space in front
-        for at in range(0, len(parts), SLICE):
-            if len(self.memory.index) > UNITS:
-                self.memory, self.pairs, self.shown = Memory(UNITS, np.int64), [], []
-            yield self.numbers(parts[at: at + SLICE])
-
-    def facts(self, rows: np.ndarray) -> np.ndarray:
-        return self.memory.tables[0].take(rows).reshape(-1, 5)
-
-    def keys(self, rows: np.ndarray) -> np.ndarray:
-        """Distinct pairs of these units."""
-        return np.unique(np.concatenate([np.zeros(0, np.int64), *[self.pairs[r][0] for r in np.unique(rows).tolist()]]))
-
-    def linked(self, text: str | None) -> np.ndarray:
-        """The distinct pairs of one document, none if a tokenizer changes it."""
-        found = np.zeros(0, np.int64)
-        for rows in self.slices(text) if text else ():
-            if not self.facts(rows)[:, 4].all():
-                return np.zeros(0, np.int64)
-            keys = self.keys(rows)
-            found = keys if not len(found) else np.union1d(found, keys)
-        return found
-
-
-def _counted(ids: list[int]) -> list[tuple[int, int]]:
-    seen: dict[int, int] = {}
-    for i in ids:
-        seen[i] = seen.get(i, 0) + 1
-    return list(seen.items())
+        fresh, index.fresh, run, size = index.fresh, [], [], 0
+        for u in fresh:
+            alone = not standing_alone(u)
+            if run and (alone or size > RUN):
+                self._learn(run)
+                run, size = [], 0
+            run.append(" " + u)
+            size += len(u)
+            if alone:
+                self._learn(run)
+                run, size = [], 0
+        if run:
+            self._learn(run)
+
+    def _numbered(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, np.ndarray]]:
+        keep = self.memory.thin()
+        if keep is not None:
+            self.facts, self.shown = self.facts[keep], [self.shown[k] for k in keep.tolist()]
+        look = self.memory.index.__getitem__
+        numbers = [np.fromiter(map(look, parts), np.int64, len(parts)) for _, parts in held]
+        self._learn_fresh()
+        self.memory.touch(np.concatenate([np.zeros(0, np.int64), *numbers]))
+        yield from zip((i for i, _ in held), numbers)
+
+    def slices(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the text, numbers of some of its units) in order; new units are aligned, many texts' at a time."""
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            parts = units(" " + text)
+            parts[0] = parts[0][1:]  # the first unit starts with the space in front
+            for at in range(0, len(parts), SLICE):
+                held.append((i, parts[at: at + SLICE]))
+                size += len(held[-1][1])
+                if size >= SLICE:
+                    yield from self._numbered(held)
+                    held, size = [], 0
+        yield from self._numbered(held)
+
+    def linked(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The distinct pairs of each document that has any; a document that a tokenizer changes has none."""
+        for _, some in groupby(self.slices(texts), itemgetter(0)):
+            found, sound = np.zeros(0, np.int64), True
+            for _, rows in some:
+                rows = np.unique(rows)
+                sound = sound and bool(self.facts[rows, 4].all())
+                if sound:
+                    keys = np.unique(self.memory.tables[0].take(rows))
+                    found = keys if not len(found) else np.union1d(found, keys)
+            if sound:
+                yield found
+
+
+def decimal(n: int) -> np.ndarray:
+    """A row of digits for each number below n, filled up with zero bytes."""
+    return np.array([str(i) for i in range(n)], "S").view(np.uint8).reshape(n, -1)
 
 
 @lru_cache(maxsize=1)
@@ -249,13 +269,12 @@ def block_pairs(docs: DataFrame, a, b, shards: int) -> DataFrame:
     def one(key: tuple, rows: pa.Table) -> pa.Table:
         work = aligner(a.value, b.value)
         keys, counts, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-        for chunk in rows.column("text").chunks:
-            for text in chunk:
-                waiting.append(work.linked(text.as_py()))
-                size += len(waiting[-1])
-                if size >= PENDING:
-                    keys, counts = add_up([(keys, counts), *[(w, None) for w in waiting]])
-                    waiting, size = [], 0
+        for found in work.linked(rows.column("text").to_pylist()):
+            waiting.append(found)
+            size += len(found)
+            if size >= PENDING:
+                keys, counts = add_up([(keys, counts), *[(w, None) for w in waiting]])
+                waiting, size = [], 0
         keys, counts = add_up([(keys, counts), *[(w, None) for w in waiting]])
         shard = (spread(keys >> 32, 0) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
@@ -361,62 +380,59 @@ class BlockCounts:
         self.keys = keys[order]
         self.counts = np.concatenate([np.zeros(0, np.int64), *[longs(x) for x in table.column("counts")]])[order]
         self.best = np.concatenate([np.zeros(0, bool), *[np.frombuffer(x.as_buffer(), bool) for x in table.column("best")]])[order]
-        self.owner, self.known = None, np.zeros((0, 2), np.int64)
+        self.generation, self.known = -1, np.zeros((0, 2), np.int64)
 
     def sums(self, work: Aligner, rows: np.ndarray) -> np.ndarray:
         """(links that are best, summed counts) of the units ``rows``, added up."""
-        if self.owner is not work.memory:  # the worker's memory was emptied
-            self.owner, self.known = work.memory, np.zeros((0, 2), np.int64)
-        if len(work.pairs) > len(self.known):
-            self.known = np.concatenate([self.known, np.full((2 * len(work.pairs) - len(self.known), 2), -1, np.int64)])
+        if self.generation != work.memory.generation:  # units have other numbers
+            self.generation, self.known = work.memory.generation, np.zeros((0, 2), np.int64)
+        n = len(work.shown)
+        if n > len(self.known):
+            self.known = np.concatenate([self.known, np.full((2 * n - len(self.known), 2), -1, np.int64)])
         distinct = np.unique(rows)
-        new = distinct[self.known[distinct, 0] < 0].tolist()
-        if new:
-            lengths = np.array([len(work.pairs[r][0]) for r in new])
-            at = np.searchsorted(self.keys, np.concatenate([work.pairs[r][0] for r in new]))
-            times = np.concatenate([work.pairs[r][1] for r in new])
-            unit = np.repeat(np.arange(len(new)), lengths)
-            found = np.zeros((len(new), 2), np.int64)
-            np.add.at(found, (unit, 0), times * self.best[at])
-            np.add.at(found, (unit, 1), times * self.counts[at])
-            self.known[new] = found
+        new = distinct[self.known[distinct, 0] < 0]
+        if len(new):
+            links = work.memory.tables[0]
+            at = np.searchsorted(self.keys, links.take(new))
+            unit = np.repeat(np.arange(len(new)), links.lengths(new))
+            self.known[new, 0] = np.bincount(unit, self.best[at], len(new))
+            self.known[new, 1] = np.bincount(unit, self.counts[at], len(new))  # exact below 2^53
         return self.known[rows].sum(axis=0)
 
 
-def shown_groups(work: Aligner, rows: np.ndarray) -> bytes:
-    shown = work.shown
-    return b";".join([shown[r] for r in rows.tolist()])
-
-
 def document_sums(docs: DataFrame, counts: DataFrame, a, b) -> DataFrame:
     """Second pass: every document of a block against the counts of the block's pairs."""
     def one(key: tuple, rows: pa.Table, table: pa.Table) -> pa.Table:
-        work, known, out = aligner(a.value, b.value), BlockCounts(table), []
-        for chunk in rows.column("text").chunks:
-            for text in chunk:
-                out.append(measure(work, known, text.as_py()))
-        names = [c.split()[0] for c in RESULT.split(", ")]
-        return pa.table([rows.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 6 + [pa.string()])]] if out
-                        else [pa.array([], pa.string() if n == "groups_sha256" else pa.int64()) for n in names], names)
+        work, known, out = aligner(a.value, b.value), BlockCounts(table), [NOTHING] * rows.num_rows
+        for i, some in groupby(work.slices(rows.column("text").to_pylist()), itemgetter(0)):
+            out[i] = measure(work, known, (r for _, r in some))
+        names, kinds = [c.split()[0] for c in RESULT.split(", ")], [pa.int64()] * 6 + [pa.string()]
+        return pa.table([rows.column("doc_id"), *[pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)]], names)
 
     return docs.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(one, RESULT)
 
 
-def measure(work: Aligner, known: BlockCounts, text: str | None) -> tuple:
-    """n_a, n_b, n_groups, n_links, n_best, count_sum, digest of the groups."""
-    total, sums, digest = np.zeros(5, np.int64), np.zeros(2, np.int64), None
-    for rows in work.slices(text) if text else ():
-        facts = work.facts(rows)
-        if not facts[:, 4].all():
-            return (0, 0, 0, 0, 0, 0, "")
+NOTHING = (0, 0, 0, 0, 0, 0, "")
+
+
+def measure(work: Aligner, known: BlockCounts, slices: Iterator[np.ndarray]) -> tuple:
+    """n_a, n_b, n_groups, n_links, n_best, count_sum, digest of the groups of one text."""
+    total, sums, digest, sound = np.zeros(5, np.int64), np.zeros(2, np.int64), None, True
+    for rows in slices:
+        facts = work.facts[rows]
+        sound = sound and bool(facts[:, 4].all())
+        if not sound:
+            continue
         total += facts.sum(axis=0)
         sums += known.sums(work, rows)
+        shown = work.shown
+        groups = b"".join([shown[r] for r in rows.tolist()])  # every group ends in ";", and the last one's goes
         if digest is None:
             digest = hashlib.sha256()
         else:
             digest.update(b";")
-        digest.update(shown_groups(work, rows))
-    return (*total[:4].tolist(), *sums.tolist(), digest.hexdigest() if digest else "")
+        digest.update(groups[:-1])
+    return (*total[:4].tolist(), *sums.tolist(), digest.hexdigest()) if sound else NOTHING
 
 
 def pair_counts(docs: DataFrame, a, b, blocks: int, shards: int) -> tuple[DataFrame, DataFrame]:

@@ -8,8 +8,10 @@ which :func:`splits_at_spaces` checks. So the tokens of a text are those of its
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -22,6 +24,16 @@ def units(text: str) -> list[str]:
     return CUT.split(text)
 
 
+def starts_unit(data: bytes, at: int) -> bool:
+    """Whether a unit of the UTF-8 text starts at this byte: decided by the characters on both sides."""
+    if not 0 < at < len(data) - 1 or data[at] != 0x20:
+        return False
+    start = at - 1
+    while start > 0 and data[start] & 0xC0 == 0x80:
+        start -= 1
+    return not data[start:at].decode().isspace()
+
+
 def splits_at_spaces(pieces: Iterable[str]) -> bool:
     return not any(MARK in p.lstrip(MARK) for p in pieces)
 
@@ -95,14 +107,17 @@ class Memory:
     """Units and their tokens, at most ``limit`` of them; the least used half goes when it is full."""
 
     def __init__(self, limit: int, *kinds):
+        self.generation = 0  # grows when units get other numbers
         self.limit, self.index, self.hits = limit, Index(), Growing(np.int32)
         self.tables = [Ragged(k) for k in kinds]
 
-    def thin(self) -> None:
-        """Make room where it is needed. Call it between look-ups: numbers of units change."""
+    def thin(self) -> np.ndarray | None:
+        """Make room where it is needed. Call it between look-ups: units get other numbers. The old numbers of those that
+        stay, None if all do."""
         n = len(self.index)
         if n <= self.limit:
-            return
+            return None
+        self.generation += 1
         hits = self.hits.data[:n]
         keep = np.sort(np.argsort(-hits, kind="stable")[: n // 2])
         keep = keep[hits[keep] > 1]
@@ -112,15 +127,17 @@ class Memory:
         self.tables = [t.only(keep) for t in self.tables]
         self.hits = Growing(np.int32)
         self.hits.extend(hits[keep] // 2)
+        return keep
 
     def learn(self, lengths: np.ndarray, *flat: np.ndarray) -> None:
-        """Tokens of the next fresh units."""
+        """Values of the next fresh units."""
         for t, f in zip(self.tables, flat):
             t.extend(lengths, f)
         self.hits.extend(np.zeros(len(lengths), np.int32))
 
     def touch(self, numbers: np.ndarray) -> None:
-        np.add.at(self.hits.data, numbers, 1)
+        n = len(self.index)
+        self.hits.data[:n] += np.bincount(numbers, minlength=n).astype(np.int32)
 
 
 def standing_alone(text: str) -> bool:
@@ -128,29 +145,56 @@ def standing_alone(text: str) -> bool:
     return not text[-1:].isspace()
 
 
-def encode_fresh(fresh: list, encode: Callable[[str], tuple[np.ndarray, ...]], widths: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """Tokens of new units: a list of (lengths in tokens, ids, further arrays per token) in their order.
+class ByteLevelBpe:
+    """The byte-level BPE of a tokenizer file, without its added tokens (their strings are plain text).
 
-    ``encode`` returns the ids of a text and further arrays; ``widths`` are the bytes of the tokens. Units that can be
-    followed by others are encoded as one text, which is cut by bytes; the others (a text's first, or those that end in
-    white space: a text's last) by themselves. Keys in a tuple have no leading space.
+    Characters below ``PLAIN`` are classed alike by every version of the pattern's engine; texts of them go to the fast
+    encoder of the same merges, where the file's ids are in the order of its merges. Others go to the file's own library.
     """
-    out, run = [], []
-
-    def flush() -> None:
-        if run:
-            ids, *more = encode("".join(run))
-            ends = np.cumsum(np.array([len(u.encode()) for u in run], np.int64))
-            at = np.searchsorted(np.cumsum(widths[ids]), ends) + 1
-            out.append((np.diff(at, prepend=0), ids, *more))
-            run.clear()
-
-    for u in fresh:
-        if isinstance(u, tuple) or not standing_alone(u):
-            flush()
-            ids, *more = encode(u[0] if isinstance(u, tuple) else " " + u)
-            out.append((np.array([len(ids)]), ids, *more))
-        else:
-            run.append(" " + u)
-    flush()
-    return out
+
+    PLAIN = "\u0250"
+
+    def __init__(self, spec: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        told = json.loads(spec)
+        before, model = told["pre_tokenizer"] or {}, told["model"]
+        if (told["normalizer"] is not None or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or model["type"] != "BPE"
+                or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"])):
+            raise ValueError("only byte-level BPE without normalizer, with literal added tokens, is supported")
+        self.inner = Tokenizer.from_str(json.dumps(told | {"truncation": None, "padding": None, "post_processor": None}))
+        self.inner.encode_special_tokens = True
+        alphabet, words = byte_alphabet(), model["vocab"]
+        self.added = {t["content"].encode(): t["id"] for t in told["added_tokens"]}
+        self.bytes_of = [b""] * (max([*words.values(), *self.added.values()]) + 1)
+        plain = {}
+        for word, i in words.items():
+            if all(c in alphabet for c in word):
+                self.bytes_of[i] = bytes([alphabet[c] for c in word])
+                plain[self.bytes_of[i]] = i
+            else:
+                self.bytes_of[i] = word.encode()
+        for content, i in self.added.items():
+            self.bytes_of[i] = content
+        self.width = np.array([len(b) for b in self.bytes_of], np.int64)
+        merged = [words["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        ordered = all(x < y for x, y in zip(merged, merged[1:])) and not model.get("dropout") and not any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={}) if ordered and merged else None
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast is not None and (text.isascii() or max(text) < self.PLAIN):
+            return self.fast.encode_ordinary(text)
+        return self.inner.encode(text, add_special_tokens=False).ids
+
+
+#: Fixed value: the published pre-token pattern of byte-level vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
