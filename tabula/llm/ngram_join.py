@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm.common import DOC_COLUMNS, documents, partitions, register
+from tabula.llm.common import DOC_COLUMNS, arrow_pass, documents, partitions, register
 from tabula.llm.components import components
 from tabula.llm.runs import bounds, by_runs, numpy_of
 from tabula.session import materialize
@@ -49,6 +49,7 @@ RARE = 2048
 CHUNK = 1024
 LEAF, FAN = 32, 8
 BUCKET_TOKENS = 400_000
+COUNTED_SETS, COUNTED_SHINGLES = 10_000, 6_000_000  # sets whose shingles a task counts together
 PIECE = 1 << 18  # bytes of text that are hashed together
 NO_ID = -(1 << 63)
 HOST, GUEST, INDEX, PROBE = range(4)  # roles in a group: a guest meets hosts, an index node meets all, probes only those
@@ -267,9 +268,18 @@ NODES = "kind int, doc_id long, n_shingles long, node long, vec binary, times lo
 
 def node_table(docs: DataFrame) -> DataFrame:
     """kind 0: (doc_id, n_shingles, node, count vector) of every row; kind 1: (node = shingle, times) of shingles
-    that are frequent in an Arrow batch. One scan of the texts."""
+    that are frequent among some sets of a task. One scan of the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in NODES.split(", ")]
+        held: dict[int, np.ndarray] = {}  # distinct sets whose shingles are counted together
+        size = 0
+
+        def often() -> pa.RecordBatch:
+            tokens, times = repeated(list(held.values()), max(2, len(held) // RARE))
+            k = len(tokens)
+            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+                                               pa.array(tokens.view(np.int64)), pa.nulls(k, pa.binary()), pa.array(times, pa.int64())], names)
+
         for b in batches:
             sets = sets_of(b.column("text"))
             ids = [node_id(s) if len(s) else None for s in sets]
@@ -277,14 +287,17 @@ def node_table(docs: DataFrame) -> DataFrame:
             n = len(sets)
             yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                                               pa.array(ids, pa.int64()), pa.array(vec, pa.binary()), pa.nulls(n, pa.int64())], names)
-            distinct = list({i: s for i, s in zip(ids, sets) if i is not None}.values())
-            if distinct:
-                tokens, times = repeated(distinct, max(2, len(distinct) // RARE))
-                k = len(tokens)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                                                  pa.array(tokens.view(np.int64)), pa.nulls(k, pa.binary()), pa.array(times, pa.int64())], names)
+            for i, s in zip(ids, sets):
+                if i is not None and i not in held:
+                    held[i] = s
+                    size += len(s)
+            if len(held) >= COUNTED_SETS or size >= COUNTED_SHINGLES:
+                yield often()
+                held, size = {}, 0
+        if held:
+            yield often()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, NODES)
+    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, NODES)
 
 
 PREFIX = "bucket long, token binary, node binary, class binary, least binary"
@@ -292,7 +305,7 @@ PREFIX = "bucket long, token binary, node binary, class binary, least binary"
 
 def prefix_table(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, buckets: int | None) -> DataFrame:
     """The rare prefix shingles of a batch that fall into one bucket, packed; without ``buckets`` the frequent ones
-    instead (bucket -1). ``rank`` orders the frequent shingles. A node is emitted once per task. ``class`` has the
+    instead, a row each. ``rank`` orders the frequent shingles. A node is emitted once per task. ``class`` has the
     node's size class, and in the last bit whether the shingle is in its index prefix; ``least`` has 32 bits of the
     node's first rare shingle."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))  # at most RARE * mean set size shingles
@@ -325,7 +338,8 @@ def prefix_table(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, bucket
             rows = [(int(where[i]), *[c[i:j].tobytes() for c in cols]) for i, j in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int64()] + [pa.binary()] * 4)], names)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, PREFIX)
+    text = docs.select(F.col("text").cast("string").alias("text"))
+    return arrow_pass(text, run, PREFIX) if buckets else arrow_pass(text, lambda batches: _unpack_hot(run(batches)), "token long, node long, index int")
 
 
 def _joined(column) -> bytes:
@@ -432,7 +446,7 @@ def _with_sets(members: DataFrame, rep: DataFrame, docs: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([*[t.column(c) for c in names], pa.array([sets[i].tobytes() for i in right], pa.binary())], [*names, "set"])
 
     schema = "leader long, chunk long, guest int, joined int, node long, set binary"
-    return text.join(wanted, "key").select(*names, "text").mapInArrow(run, schema)
+    return arrow_pass(text.join(wanted, "key").select(*names, "text"), run, schema)
 
 
 def visits(marked: DataFrame) -> DataFrame:
@@ -474,7 +488,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = 4 * wide  # several a task, so that tasks are even
     members = by_runs(prefix_table(docs, frequent, rank, buckets), ["bucket"], wide, block_leaders, "leader long, node long, index int")
     if len(frequent):
-        hot = materialize(prefix_table(docs, frequent, rank, None).mapInArrow(_unpack_hot, "token long, node long, index int"), "frequent")
+        hot = materialize(prefix_table(docs, frequent, rank, None), "frequent")
         lead = F.broadcast(hot.where("index = 1").groupBy("token").agg(F.min("node").alias("leader")))  # a row per frequent shingle
         members = members.union(hot.join(lead, "token").where("leader != node").select("leader", "node", "index"))
     members = materialize(members.groupBy("leader", "node").agg(F.max("index").alias("index")), "members")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabula.llm.common import BLANKS, DOC_COLUMNS, documents, register, small
+from tabula.llm.common import arrow_pass, BLANKS, DOC_COLUMNS, documents, register, small
 from tabula.session import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -69,7 +69,7 @@ def base_stats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"),
                          *[F.col("n_chars").cast("long")] * keep_text)
-    return narrow.mapInArrow(run, schema)
+    return arrow_pass(narrow, run, schema)
 
 
 def bucket(v: Column) -> Column:

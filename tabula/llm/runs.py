@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tabula.llm.common import arrow_pass
+
 
 def by_runs(df: DataFrame, keys: list[str], tasks: int, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, order: list[str] = ()) -> DataFrame:
     """Shuffle by ``keys`` (long columns), sort inside the partitions, call ``fn`` with whole groups.
@@ -38,7 +40,7 @@ def by_runs(df: DataFrame, keys: list[str], tasks: int, fn: Callable[[pa.Table],
         if held:
             yield from fn(pa.Table.from_batches(held))
 
-    return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return arrow_pass(df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order), run, schema)
 
 
 def bounds(*keys: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabula.llm.common import DOC_COLUMNS, documents, partitions, register
+from tabula.llm.common import arrow_pass, DOC_COLUMNS, documents, partitions, register
 from tabula.llm.ngram_join import _BYTE, _INVERSE, _P, _Q, U, _powers, mix64, utf8
 from tabula.llm.runs import bounds, by_runs, numpy_of
 from tabula.session import materialize
@@ -148,7 +148,7 @@ def anchor_table(docs: DataFrame, buckets: int) -> DataFrame:
                 rows += _pack_rows(where[~first], 1, [c[~first] for c in cols[:5]] + [np.zeros(np.count_nonzero(~first), np.uint8)] * 2)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int32()] + [pa.binary()] * len(FIELDS))], names)
 
-    return docs.select("key", "rn", "text").mapInArrow(run, ANCHORS)
+    return arrow_pass(docs.select("key", "rn", "text"), run, ANCHORS)
 
 
 PARTS = "kind int, key long, rn int, a binary, b binary, gram binary"
@@ -444,21 +444,21 @@ def with_repeats(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
     first = materialize(by_runs(anchor_table(d, buckets), ["bucket"], tasks, compare_contexts, PARTS), "parts")
     packed = lambda x: x.groupBy("key", "rn").agg(F.collect_list(F.struct("a", "b", "gram")).alias("parts"))
     # both joins take the same columns of d, so its exchange is written once
-    contexts = d.join(packed(first.where("kind = 0")), ["key", "rn"]).select(*d.columns, "parts").mapInArrow(cut_contexts(buckets), CONTEXTS)
+    contexts = arrow_pass(d.join(packed(first.where("kind = 0")), ["key", "rn"]).select(*d.columns, "parts"), cut_contexts(buckets), CONTEXTS)
     second = by_runs(contexts, ["bucket"], tasks, sort_contexts, PARTS)
     return d.join(packed(first.where("kind = 1").union(second)), ["key", "rn"], "left").select(*d.columns, "parts")
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    out = with_repeats(docs).mapInArrow(_digests, RESULT)
+    out = arrow_pass(with_repeats(docs), _digests, RESULT)
     return out.select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated bytes cut out of their texts (and the rest of a character that a cut divides). A
     text that loses bytes and keeps no word is dropped; ``n_chars`` is counted anew."""
-    out = with_repeats(docs, ["lang", "source"]).mapInArrow(_documents, "doc_id long, text string, lang string, source string, n_chars long")
+    out = arrow_pass(with_repeats(docs, ["lang", "source"]), _documents, "doc_id long, text string, lang string, source string, n_chars long")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).select(*DOC_COLUMNS)
 
 
