@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tabula.operators import metrics
 from tabula.session import materialize
 
+STAGE = 25  # rounds of the first stage of an early-stopped fit
+
 # The reference's discrete search spaces (configuration input of the randomized search).
 SEARCH_SPACES = {
     "DecisionTree": {
@@ -197,21 +199,40 @@ def best_prefix(losses: Sequence[float], patience: int = 10) -> int:
     return best + 1
 
 
+def staged_fit(estimator, rows: DataFrame, valid: DataFrame, patience: int = 10, stage: int = STAGE):
+    """Early-stopped boosting: (model, rounds up to the least loss on ``valid``). Boosting with one seed grows the same
+    first trees whatever the number of rounds, so ``stage`` rounds are fitted, then twice as many, until ``patience``
+    rounds without a lower loss lie inside them or the estimator's own number is reached."""
+    most = estimator.getMaxIter()
+    n = min(stage, most)
+    while True:
+        model = estimator.copy({estimator.maxIter: n}).fit(rows)
+        best = best_prefix(model.evaluateEachIteration(valid), patience)
+        if n == most or n >= best + patience:
+            return model, best
+        n = min(2 * n, most)
+
+
+def in_few_partitions(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df`` in partitions of about ``rows`` rows, if it has more of them: boosting runs several short jobs a tree."""
+    return df.coalesce(df.count() // rows + 1)
+
+
 def holdout_search(train: DataFrame, valid: DataFrame, estimator_fn: Callable[[dict], object],
                    space: Mapping[str, tuple], max_evals: int = 20, seed: int = 42, label: str = "label",
                    parallelism: int = 4, model_name: str = "model",
                    resample: Callable[[DataFrame], DataFrame] | None = None, patience: int = 10):
-    """Sampled hold-out search: each trial fits all rounds on ``train`` (after ``resample``, e.g. SMOTE), keeps the
+    """Sampled hold-out search: each trial boosts on ``train`` (after ``resample``, e.g. SMOTE) in stages, keeps the
     rounds up to the least loss on ``valid`` (``patience`` rounds without a lower one end it) and is scored there by
     weighted F1; the best configuration is refit on the same rows without early stopping. Returns (best_model,
     best_params, trials DataFrame)."""
     spark = train.sparkSession
     trials = sample_space(space, max_evals, seed)
-    rows_ = materialize(resample(train), "resampled") if resample else train
+    rows_ = in_few_partitions(materialize(resample(train), "resampled") if resample else train)
+    valid = in_few_partitions(valid)
 
     def run(t):
-        model = estimator_fn(trials[t]).fit(rows_)
-        n = best_prefix(model.evaluateEachIteration(valid), patience)
+        model, n = staged_fit(estimator_fn(trials[t]), rows_, valid, patience)
         out = first_trees(model, n).transform(valid).select(F.col(label).alias("label"), F.col("prediction").cast("int").alias("prediction"))
         return t, weighted_f1(out), n
 

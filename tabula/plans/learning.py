@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabula.functions.expr import uniform01
 from tabula.operators import prep, split
 from tabula.plans.fixtures import planted
 from tabula.session import materialize
@@ -29,11 +30,20 @@ class Prepared:
         return self.data.where(F.col("split") == name)
 
 
-def prepare(spark: SparkSession, sf_dir: str, folds: int = 3, seed: int = 42) -> Prepared:
-    """The shared preparation: one exact split, prep fitted on train rows only, balanced weights, folds."""
+NOISE = 0.1  # share of flipped labels where a query needs a label that no tree learns exactly
+
+
+def noisy(label: Column, row_id: Column, share: float) -> Column:
+    """``label``, flipped for a hash-drawn share of the rows."""
+    return F.when(uniform01(row_id, "noise") < share, 1 - label).otherwise(label) if share else label
+
+
+def prepare(spark: SparkSession, sf_dir: str, folds: int = 3, seed: int = 42, noise: float = 0.0) -> Prepared:
+    """The shared preparation: one exact split, prep fitted on train rows only, balanced weights, folds; ``noise`` is
+    the share of flipped labels."""
     # the split table and the prepared table are read by several fits: each is written once to the shared folder, so
     # neither depends on an executor's cache
-    base = materialize(planted(spark, sf_dir).select("row_id", *NUMERIC, *CATEGORICAL, F.col("y").alias("label")), "base")
+    base = materialize(planted(spark, sf_dir).select("row_id", *NUMERIC, *CATEGORICAL, noisy(F.col("y"), F.col("row_id"), noise).alias("label")), "base")
     base = materialize(split.three_way_split(base, "label", "row_id", 0.2, 0.2, seed), "split")
     train = base.where(F.col("split") == "train")
     model = prep.fit_prep(train, NUMERIC, CATEGORICAL)

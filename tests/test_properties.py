@@ -132,3 +132,21 @@ def test_holdout_search_keeps_the_best_prefix(spark):
     assert short.getNumTrees == 3 and np.isclose(short.evaluateEachIteration(valid)[2], model.evaluateEachIteration(valid)[2])
     assert search.best_prefix([5, 4, 3] + [3.5] * 10 + [1]) == 3 and search.best_prefix([5, 4, 3] + [3.5] * 9 + [1]) == 13
     assert inspect.signature(q_models._holdout).parameters["max_evals"].default == 20
+
+
+def test_staged_fit_equals_the_whole_fit(spark):
+    """Stages stop early, and keep the rounds that fitting everything at once would keep."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from tabula.operators import models, search
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 3))
+    y = ((x[:, 0] + x[:, 1] > 0) ^ (rng.random(600) < 0.2)).astype(int)
+    data = spark.createDataFrame([(Vectors.dense(a), int(b)) for a, b in zip(x, y)], "features vector, label int").repartition(2).persist()
+    train, valid = data.limit(400), data.subtract(data.limit(400))
+    est = models.gbt("A", {"n_estimators": 60, "max_depth": 3, "subsample": 0.7, "colsample_bytree": 0.7})
+    model, n = search.staged_fit(est, train, valid, patience=4, stage=8)
+    whole = est.fit(train).evaluateEachIteration(valid)
+    assert n == search.best_prefix(whole, 4) and model.getNumTrees < 60
