@@ -144,8 +144,8 @@ def test_staged_fit_equals_the_whole_fit(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(600, 3))
     y = ((x[:, 0] + x[:, 1] > 0) ^ (rng.random(600) < 0.2)).astype(int)
-    data = spark.createDataFrame([(Vectors.dense(a), int(b)) for a, b in zip(x, y)], "features vector, label int").repartition(2).persist()
-    train, valid = data.limit(400), data.subtract(data.limit(400))
+    rows = [(Vectors.dense(a), int(b)) for a, b in zip(x, y)]
+    train, valid = (spark.createDataFrame(part, ["features", "label"]).coalesce(2) for part in (rows[:400], rows[400:]))
     est = models.gbt("A", {"n_estimators": 60, "max_depth": 3, "subsample": 0.7, "colsample_bytree": 0.7})
     model, n = search.staged_fit(est, train, valid, patience=4, stage=8)
     whole = est.fit(train).evaluateEachIteration(valid)
