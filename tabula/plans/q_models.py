@@ -14,7 +14,7 @@ from tabula.operators import explain, metrics, models, report, resample, search
 from tabula.plans import q_prepare  # noqa: F401  (registered first: its oracles are reused below)
 from tabula.plans.fixtures import PLANTED_SQL, planted
 from tabula.plans.learning import CATEGORICAL, NOISE, NUMERIC, prepare
-from tabula.plans.registry import register, rounded
+from tabula.plans.registry import ORACLE, register, rounded
 from tabula.session import scratch_dir
 from tabula.sources import files
 
@@ -236,12 +236,60 @@ def q_tree_importance(spark, sf):
 
 @register("shap_tree")
 def q_shap_tree(spark, sf):
-    p = prepare(spark, sf)
-    m = models.gbt("A", {"n_estimators": 10, "max_depth": 4}).fit(p.part("train"))
-    shap, base = explain.shap_tree(p.part("validation"), m, p.prep.names)
+    """TreeSHAP of the whole booster profile A, every training row; on the label with flipped rows, whose trees are deep."""
+    p = prepare(spark, sf, noise=NOISE)
+    m = models.gbt("A").fit(search.in_few_partitions(p.part("train")))
+    shap, base = explain.shap_tree(p.part("train"), m, p.prep.names)
     return shap.withColumn("base_value", F.lit(base))
 
 
+def _rule_tree(spark, sf):
+    """A fitted tree of depth 2 on the planted label, its SHAP table over the training rows, and its base value."""
+    p = prepare(spark, sf)
+    m = models.decision_tree(max_depth=2, weight_col=None).fit(p.part("train"))
+    return explain.shap_tree(p.part("train"), m, p.prep.names, label_is_class=True, scale=1.0)
+
+
+# The tree splits on quantity, then (where that passes) on discount. With q, d the two conditions, w the share of rows
+# with q and r the positive share among them, the value of knowing nothing, q, d, both: w*r, q*r, d*w, q*d.
+_TREE_SHAP_SQL = f"""(WITH tr AS (SELECT row_id FROM ({_assemble_sql()}) a WHERE split = 'train'),
+  t AS (SELECT row_id, CAST(l_quantity >= 40 AS INTEGER) AS q, CAST(l_discount >= 0.05 AS INTEGER) AS d FROM {PLANTED_SQL} p JOIN tr USING (row_id)),
+  c AS (SELECT avg(q) AS w, sum(q * d) * 1.0 / sum(q) AS r FROM t),
+  v AS (SELECT row_id, w * r AS v0, q * r AS vq, d * w AS vd, q * d AS vqd FROM t, c),
+  names AS ({ORACLE["feature_names"]})
+SELECT row_id, feature, v0 AS base_value, CASE feature
+  WHEN 'l_quantity' THEN ((vq - v0) + (vqd - vd)) / 2 WHEN 'l_discount' THEN ((vd - v0) + (vqd - vq)) / 2 ELSE 0.0 END AS shap
+FROM v, names)"""
+
+
+@register("shap_tree_rule", f"SELECT row_id, feature, round(shap, 6) AS shap, round(base_value, 6) AS base_value FROM {_TREE_SHAP_SQL} s")
+def q_shap_tree_rule(spark, sf):
+    """X3 on a fitted tree whose SHAP values have a closed form."""
+    shap, base = _rule_tree(spark, sf)
+    return rounded(shap.select("row_id", "feature", "shap", F.lit(base).alias("base_value")))
+
+
+@register("shap_tree_mean_abs", f"""
+SELECT feature, round(avg(abs(shap)), 6) AS mean_abs_shap,
+  CAST(row_number() OVER (ORDER BY round(avg(abs(shap)), 9) DESC, feature) AS INTEGER) AS rank FROM {_TREE_SHAP_SQL} s GROUP BY feature""")
+def q_shap_tree_mean_abs(spark, sf):
+    """X4 on a fitted tree: the bar chart's numbers."""
+    return rounded(explain.shap_mean_abs(_rule_tree(spark, sf)[0]))
+
+
+@register("explain_row_tree", f"""
+WITH s AS {_TREE_SHAP_SQL}, one AS (SELECT *, row_number() OVER (ORDER BY abs(shap) DESC, feature) AS rank FROM s
+  WHERE row_id = (SELECT min(row_id) FROM s))
+SELECT row_id, feature, round(shap, 6) AS shap, CAST(rank AS INTEGER) AS rank FROM one WHERE rank <= 2
+UNION ALL SELECT row_id, 'other features', round(sum(shap), 6), 3 FROM one WHERE rank > 2 GROUP BY row_id
+UNION ALL SELECT row_id, 'base value', round(max(base_value), 6), 0 FROM one GROUP BY row_id""")
+def q_explain_row_tree(spark, sf):
+    """X5 on a fitted tree: the training row of the least id."""
+    shap, base = _rule_tree(spark, sf)
+    rid = shap.agg(F.min("row_id")).first()[0]
+    return rounded(explain.explain_row(shap, rid, base, top=2).select("row_id", "feature", "shap", "rank"))
+
+
 RULE_FEATURES = ["l_quantity", "l_discount", "l_extendedprice"]
 
 
@@ -279,6 +327,35 @@ def q_permutation_importance(spark, sf):
     return rounded(explain.permutation_importance(df, _rule, RULE_FEATURES, n_repeats=10, seed=42))
 
 
+def _perm_model_sql() -> str:
+    feats = [*NUMERIC, *CATEGORICAL]
+    acc = []
+    for o, f in enumerate(feats):
+        q = "s.l_quantity" if f == "l_quantity" else "t.l_quantity"
+        d = "s.l_discount" if f == "l_discount" else "t.l_discount"
+        acc.append(f"""SELECT '{f}' AS feature, {o} AS o, rep, avg(CASE WHEN CAST({q} >= 40 AND {d} >= 0.05 AS INTEGER) = t.y
+  THEN 1.0 ELSE 0.0 END) AS acc FROM pos t JOIN par ON true JOIN pos s ON s.i = (t.i * a + b) % n GROUP BY rep""")
+    return f"""
+WITH pos AS (SELECT l_quantity, l_discount, y, row_number() OVER (ORDER BY md5(row_id || ':42:base')) - 1 AS i FROM {PLANTED_SQL} p),
+cnt AS (SELECT count(*) AS n FROM pos), reps AS (SELECT range AS rep FROM range(10)),
+par AS (SELECT rep, n, min(2 + CAST('0x' || substr(md5('42:' || rep || ':a'), 1, 5) AS BIGINT) + g.range) AS a,
+  min(CAST('0x' || substr(md5('42:' || rep || ':b'), 1, 12) AS BIGINT) % n) AS b
+  FROM reps, cnt, range(1000) g WHERE gcd(2 + CAST('0x' || substr(md5('42:' || rep || ':a'), 1, 5) AS BIGINT) + g.range, n) = 1 GROUP BY rep, n),
+per AS ({" UNION ALL ".join(acc)})
+SELECT feature, round(avg(1.0 - acc), 6) AS importance, round(stddev_pop(1.0 - acc), 6) AS importance_std,
+  CAST(row_number() OVER (ORDER BY avg(1.0 - acc) DESC, o) AS INTEGER) AS rank FROM per GROUP BY feature, o"""
+
+
+@register("permutation_importance_model", _perm_model_sql())
+def q_permutation_importance_model(spark, sf):
+    """X2 on a fitted tree, over all rows: it has learnt the planted rule, so its baseline accuracy is 1."""
+    p = prepare(spark, sf)
+    m = models.decision_tree().fit(p.part("train"))
+    names = p.prep.names
+    groups = {f: [i for i, n in enumerate(names) if n == f or (f in CATEGORICAL and n.startswith(f + "_"))] for f in (*NUMERIC, *CATEGORICAL)}
+    return rounded(explain.permutation_importance_model(p.data, m, groups, n_repeats=10, seed=42))
+
+
 # fixed coefficients of a linear margin (a model stated as a rule, so the oracle can reproduce it)
 LIN_COEFS = {"l_quantity": 0.0812345678, "l_discount": 24.6913578, "l_tax": -3.90123457}
 LIN_INTERCEPT = -5.0
@@ -329,7 +406,6 @@ def q_explain_row(spark, sf):
 # ---------------------------------------------------------------- S4
 
 def _write_report_sql() -> str:
-    from tabula.plans.registry import ORACLE
     parts = [f"SELECT '{t}' AS \"table\", count(*) AS rows FROM ({ORACLE[q]}) x"
              for t, q in (("summary", "summary_table"), ("roc_curves", "roc_curves_all"),
                           ("reports", "reports_all"), ("test_report", "test_report"))]
