@@ -1,21 +1,23 @@
 """Scoring and evaluation (E1-E6) over a long scored table ``(keys..., label, prediction, score)``.
 
 All models are evaluated in one grouped pass keyed by ``(model, method, ...)``. ROC / AUC are exact:
-rows are first collapsed to distinct scores (partial aggregation absorbs hot values), then the
-running counts come from windows partitioned by *score bucket* (fixed value ranges from a quantile
-sketch) plus per-bucket offsets from a small table, so no key's whole score range is sorted in
-one task.
+rows are first collapsed to distinct scores (partial aggregation absorbs hot values), then a range
+partition on (key, score) deals them to buckets of about ``ROWS_PER_BUCKET`` rows, as many as the data
+need; running counts come from windows per (key, bucket) plus the counts of the buckets before, so no
+key's whole score range is sorted in one task, however narrow that range is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabula.functions.expr import qcol
+from tabula.session import materialize
+
+ROWS_PER_BUCKET = 200_000  # distinct (key, score) rows of a bucket, about
 
 
 # ---------------------------------------------------------------- E1
@@ -91,43 +93,42 @@ def classification_report(df: DataFrame, keys: Sequence[str] = (), label: str =
 # ---------------------------------------------------------------- E3 / E4
 
 def score_cumulative(df: DataFrame, keys: Sequence[str] = (), label: str = "label", score: str = "score",
-                     buckets: int = 64, count_col: str | None = None) -> DataFrame:
+                     rows_per_bucket: int = ROWS_PER_BUCKET, count_col: str | None = None) -> DataFrame:
     """Per key and distinct score: pos, neg and the running counts tp / fp of rows with score >= s.
 
-    Also P / N totals per key and the bucket id ``b``. Exact at any scale: windows run per
-    (key, score bucket), and a small (key, bucket) table supplies the offsets of higher buckets.
-    """
+    Also P / N totals per key and the bucket id ``b``, which falls as scores rise. The distinct scores are written
+    with their bucket to the shared folder: bounds are sampled once, and every reader sees the same buckets."""
     keys = list(keys)
     w = F.col(count_col).cast("long") if count_col else F.lit(1).cast("long")
-    d = df.groupBy(*keys, qcol(score).cast("double").alias("s")).agg(
+    d = materialize(df.groupBy(*keys, qcol(score).cast("double").alias("s")).agg(
         F.sum(F.when(qcol(label) == 1, w).otherwise(0)).alias("pos"),
-        F.sum(F.when(qcol(label) != 1, w).otherwise(0)).alias("neg")).persist()  # read by the sketch and the windows
+        F.sum(F.when(qcol(label) != 1, w).otherwise(0)).alias("neg")), "scores")
+    buckets = -(-d.count() // rows_per_bucket)
     if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        qs = d.agg(F.percentile_approx("s", probs, 10000).alias("q")).first()["q"] or []
-        splits = sorted(set(float(x) for x in qs if x is not None))
-        splits = [float("-inf")] + splits + [float("inf")]
-        d = Bucketizer(splits=splits, inputCol="s", outputCol="b").transform(d).withColumn("b", F.col("b").cast("int"))
+        d = materialize(d.repartitionByRange(buckets, *keys, F.col("s").desc()).withColumn("b", F.spark_partition_id()),
+                        "score-buckets")
     else:
         d = d.withColumn("b", F.lit(0))
     wb = Window.partitionBy(*keys, "b").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("tp_in", F.sum("pos").over(wb)).withColumn("fp_in", F.sum("neg").over(wb))
     bt = d.groupBy(*keys, "b").agg(F.sum("pos").alias("pb"), F.sum("neg").alias("nb"))
-    wk = Window.partitionBy(*keys).orderBy(F.col("b").desc())
+    wk = Window.partitionBy(*keys).orderBy("b")
     bt = (bt.withColumn("tp_off", F.coalesce(F.sum("pb").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
             .withColumn("fp_off", F.coalesce(F.sum("nb").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
             .withColumn("P", F.sum("pb").over(Window.partitionBy(*keys)))
             .withColumn("N", F.sum("nb").over(Window.partitionBy(*keys))))
-    j = d.join(bt.select(*keys, "b", "tp_off", "fp_off", "P", "N"), keys + ["b"])
-    return j.select(*keys, "b", "s", "pos", "neg", (F.col("tp_in") + F.col("tp_off")).alias("tp"),
+    d = d.withColumn("tp_in", F.sum("pos").over(wb)).withColumn("fp_in", F.sum("neg").over(wb))
+    at = [*keys, "b"]
+    bt = bt.select(*[F.col(k).alias(f"__{k}") for k in at], "tp_off", "fp_off", "P", "N")
+    j = d.join(bt, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in at])
+    return j.select(*at, "s", "pos", "neg", (F.col("tp_in") + F.col("tp_off")).alias("tp"),
                     (F.col("fp_in") + F.col("fp_off")).alias("fp"), "P", "N")
 
 
 def roc_auc(df: DataFrame, keys: Sequence[str] = (), label: str = "label", score: str = "score",
-            buckets: int = 64, count_col: str | None = None) -> DataFrame:
+            rows_per_bucket: int = ROWS_PER_BUCKET, count_col: str | None = None) -> DataFrame:
     """Exact ROC AUC per key (ties count ½); null when only one class is present."""
     keys = list(keys)
-    c = score_cumulative(df, keys, label, score, buckets, count_col)
+    c = score_cumulative(df, keys, label, score, rows_per_bucket, count_col)
     num = F.col("pos") * (F.col("N") - F.col("fp") + 0.5 * F.col("neg"))
     agg = c.groupBy(*keys).agg(F.sum(num).alias("num"), F.first("P").alias("P"), F.first("N").alias("N"))
     auc = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("num") / (F.col("P") * F.col("N")))
@@ -135,23 +136,24 @@ def roc_auc(df: DataFrame, keys: Sequence[str] = (), label: str = "label", score
 
 
 def roc_curve(df: DataFrame, keys: Sequence[str] = (), label: str = "label", score: str = "score",
-              drop_intermediate: bool = True, buckets: int = 64) -> DataFrame:
+              drop_intermediate: bool = True, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """ROC points (keys..., threshold, fpr, tpr) from (0, 0); collinear interior points dropped.
 
     Neighbours for the collinearity test come from the same bucket window, or from the edge rows of
     the adjacent non-empty bucket (a small per-bucket table).
     """
     keys = list(keys)
-    c = score_cumulative(df, keys, label, score, buckets)
+    c = score_cumulative(df, keys, label, score, rows_per_bucket)
     if drop_intermediate:
         wb = Window.partitionBy(*keys, "b").orderBy(F.col("s").desc())
         c = (c.withColumn("ltp", F.lag("tp").over(wb)).withColumn("lfp", F.lag("fp").over(wb))
               .withColumn("ntp", F.lead("tp").over(wb)).withColumn("nfp", F.lead("fp").over(wb)))
         edge = c.groupBy(*keys, "b").agg(
             F.max_by(F.struct("tp", "fp"), "s").alias("first"), F.min_by(F.struct("tp", "fp"), "s").alias("last"))
-        wk = Window.partitionBy(*keys).orderBy(F.col("b").desc())
-        edge = edge.select(*keys, "b", F.lag("last").over(wk).alias("prev_last"), F.lead("first").over(wk).alias("next_first"))
-        c = c.join(edge, keys + ["b"])
+        wk = Window.partitionBy(*keys).orderBy("b")
+        at = [*keys, "b"]
+        edge = edge.select(*[F.col(k).alias(f"__{k}") for k in at], F.lag("last").over(wk).alias("prev_last"), F.lead("first").over(wk).alias("next_first"))
+        c = c.join(edge, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in at])
         ltp = F.coalesce(F.col("ltp"), F.col("prev_last.tp"))
         lfp = F.coalesce(F.col("lfp"), F.col("prev_last.fp"))
         ntp = F.coalesce(F.col("ntp"), F.col("next_first.tp"))

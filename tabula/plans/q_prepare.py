@@ -341,7 +341,7 @@ def _roc_sql(src: str) -> str:
 @register("roc_curve", f"SELECT model, method, round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, "
           f"round(tpr, 6) AS tpr FROM {_roc_sql(_VAL)} r")
 def q_roc_curve(spark, sf):
-    return rounded(metrics.roc_curve(_val(spark, sf), ["model", "method"], buckets=8))
+    return rounded(metrics.roc_curve(_val(spark, sf), ["model", "method"]))
 
 
 def _report_sql(src: str, accuracy: bool, digits: int) -> str:
