@@ -52,21 +52,13 @@ def quantiles(x: Column, probs: Sequence[float], approx: bool = False, accuracy:
     return F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 100000,
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10_000,
                     map_limit: int = 100_000, extra_aggs: Sequence[Column] = (), extra_out: dict | None = None) -> dict:
     """Exact linear-interpolation quantiles {column: [value per prob]}, safe for any column cardinality.
 
-    ``percentile`` merges a value -> count map of the whole column in one task: fine up to a few
-    million distinct values, fatal for a continuous column of a very large table. So:
-
-    1. one cheap aggregate: count, min, max and an HLL distinct estimate per column;
-    2. one aggregate: ``percentile`` for columns under ``map_limit`` distinct values, and a quantile
-       sketch (rank error <= n / accuracy) bracketing every needed rank for the others;
-    3. (large columns only) one aggregate counting rows below / inside each bracket, then only the
-       bracket rows (~6 n / accuracy per target) are grouped by value and ranked per target by a window;
-       two values per target reach the driver.
+    Columns of at most ``map_limit`` distinct values (HLL estimate) are read off by ``percentile``, whose value map
+    then has no more entries than that. The others go through ``select_ranks``: no map, sort or window over a column.
     """
-    spark = df.sparkSession
     xs = {c: clean_numeric(df, c) for c in cols}
     result = {c: [None] * len(probs) for c in cols}
     st = df.agg(*[F.struct(F.count(xs[c]).alias("n"), F.min(xs[c]).alias("lo"), F.max(xs[c]).alias("hi"),
@@ -74,82 +66,86 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                   for i, c in enumerate(cols)], *extra_aggs).first()
     if extra_out is not None:  # callers fuse their own one-row statistics into the first pass
         extra_out.update(st.asDict())
-    small = [i for i, c in enumerate(cols) if st[f"s{i}"]["n"] and st[f"s{i}"]["ndv"] <= map_limit]
-    large = [i for i, c in enumerate(cols) if st[f"s{i}"]["n"] and st[f"s{i}"]["ndv"] > map_limit]
-    delta = 3.0 / accuracy
-    probe = sorted({min(1.0, max(0.0, round(p + sg * delta, 12))) for p in probs for sg in (-1, 1)})
-    aggs = [F.percentile(xs[cols[i]], F.array(*[F.lit(float(p)) for p in probs])).alias(f"p{i}") for i in small]
-    aggs += [F.percentile_approx(xs[cols[i]], probe, accuracy).alias(f"q{i}") for i in large]
-    if not aggs:
-        return result
-    row = df.agg(*aggs).first()
-    for i in small:
-        result[cols[i]] = list(row[f"p{i}"])
-    targets = []  # (column index, prob index, k, frac, lo, hi, n)
-    for i in large:
-        n, mn, mx = int(st[f"s{i}"]["n"]), st[f"s{i}"]["lo"], st[f"s{i}"]["hi"]
-        sk = dict(zip(probe, row[f"q{i}"]))
-        for j, p in enumerate(probs):
-            pos = p * (n - 1)
-            k = int(math.floor(pos))
-            lo = mn if p - delta <= 0 else sk[min(1.0, max(0.0, round(p - delta, 12)))]
-            hi = mx if p + delta >= 1 else sk[min(1.0, max(0.0, round(p + delta, 12)))]
-            targets.append((i, j, k, pos - k, float(lo), float(hi), n))
-    if not targets:
-        return result
-    row = {f"lo{i}": st[f"s{i}"]["lo"] for i in large} | {f"hi{i}": st[f"s{i}"]["hi"] for i in large}
-    # pass 2: verify each bracket holds ranks k and k+1; widen to [min, max] where it does not
-    def counts(ts):
-        ag = []
-        for t, (i, _j, _k, _f, lo, hi, _n) in enumerate(ts):
-            x = xs[cols[i]]
-            ag += [F.sum((x < lo).cast("long")).alias(f"b{t}"), F.sum(((x >= lo) & (x <= hi)).cast("long")).alias(f"w{t}")]
-        return df.agg(*ag).first()
-    cnt = counts(targets)
-    fixed = []
-    for t, (i, j, k, f, lo, hi, n) in enumerate(targets):
-        b, w = int(cnt[f"b{t}"] or 0), int(cnt[f"w{t}"] or 0)
-        last = min(k + 1, n - 1)
-        if not (b <= k and last < b + w):
-            lo, hi = float(row[f"lo{i}"]), float(row[f"hi{i}"])
-            b = 0
-        fixed.append((i, j, k, f, lo, hi, n, b))
-    # pass 3: bracket rows only, grouped by (column, value) so ties collapse map-side, then matched
-    # to their targets by an equi-join on the column id (<= len(probs) targets per column)
-    by_col: dict = {}
-    for t, (i, _j, _k, _f, lo, hi, _n, _b) in enumerate(fixed):
-        by_col.setdefault(i, []).append((lo, hi))
-    vals = None
-    for i, rng in by_col.items():
-        inside = reduce(lambda a, c: a | c, [(xs[cols[i]] >= lo) & (xs[cols[i]] <= hi) for lo, hi in rng])
-        v = df.where(inside).groupBy(xs[cols[i]].alias("x")).count().withColumn("ci", F.lit(i))
-        vals = v if vals is None else vals.unionByName(v)
-    tt = spark.createDataFrame([(t, i, lo, hi) for t, (i, _j, _k, _f, lo, hi, _n, _b) in enumerate(fixed)],
-                               "t int, ci int, lo double, hi double")
-    band = (vals.join(F.broadcast(tt), "ci")  # targets: a parameter-sized table (columns x probs)
-            .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).select("t", "x", "count"))
-    w = Window.partitionBy("t").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    band = band.withColumn("cum", F.sum("count").over(w)).withColumn("before", F.col("cum") - F.col("count"))
-    need = []
-    for t, (_i, _j, k, _f, _lo, _hi, n, b) in enumerate(fixed):
-        for r in {k - b, min(k + 1, n - 1) - b}:
-            need.append((F.col("t") == t) & (F.col("before") <= r) & (F.lit(r) < F.col("cum")))
-    picked = band.where(reduce(lambda a, c: a | c, need)).select("t", "x", "before", "cum").collect()
-    at = {}
-    for r in picked:
-        at.setdefault(r["t"], []).append((r["before"], r["cum"], r["x"]))
-    for t, (i, j, k, f, _lo, _hi, n, b) in enumerate(fixed):
-        def value(rank):
-            for before, cum, x in at.get(t, []):
-                if before <= rank - b < cum:
-                    return float(x)
-            return None
-        v0 = value(k)
-        v1 = value(min(k + 1, n - 1))
-        result[cols[i]][j] = v0 if (f == 0 or v1 is None) else v0 + (v1 - v0) * f
+    filled = [(i, c) for i, c in enumerate(cols) if st[f"s{i}"]["n"]]
+    small = [(i, c) for i, c in filled if st[f"s{i}"]["ndv"] <= map_limit]
+    if small:
+        row = df.agg(*[F.percentile(xs[c], F.array(*[F.lit(float(p)) for p in probs])).alias(f"p{i}") for i, c in small]).first()
+        for i, c in small:
+            result[c] = list(row[f"p{i}"])
+    large = [c for i, c in filled if st[f"s{i}"]["ndv"] > map_limit]
+    if large:
+        ranks = {c: [(math.floor(p * (n - 1)), p * (n - 1)) for p in probs]
+                 for c, n in ((c, int(st[f"s{i}"]["n"])) for i, c in filled if c in large)}
+        bounds = {c: (float(st[f"s{i}"]["lo"]), float(st[f"s{i}"]["hi"]), int(st[f"s{i}"]["n"])) for i, c in filled if c in large}
+        values = select_ranks(df, xs, bounds, {c: sorted({k for k, _ in ranks[c]}) for c in large}, accuracy, map_limit)
+        for c in large:
+            for j, (k, pos) in enumerate(ranks[c]):
+                v0, v1 = values[c, k]
+                result[c][j] = v0 + (v1 - v0) * (pos - k)
     return result
 
 
+def select_ranks(df: DataFrame, xs: dict, bounds: dict, ranks: dict, accuracy: int, map_limit: int) -> dict:
+    """{(column, k): (value of rank k, value of rank k + 1)}, ranks from 0, the last value again after the last rank.
+
+    Distributed selection by narrowing, all targets together in one aggregate a step. ``bounds`` is
+    {column: (least, greatest, count)}; a target's bracket of values starts there. Each round counts the rows below,
+    inside, and at both ends of the bracket. Ranks that lie at an end are found, however many rows share that value;
+    otherwise both end values are left out, so that every round makes progress. A bracket of at most ``map_limit``
+    distinct values is read off by ``percentile``; any other shrinks to its quantile sketch's values around the ranks,
+    about 6 / ``accuracy`` of its rows. Should the sketch miss, the counts of the next round show it, and the bracket
+    grows back to the last one known to hold the ranks."""
+    open_ = {(c, k): bounds[c][:2] for c in ranks for k in ranks[c]}
+    sure = dict(open_)  # the last bracket known to hold the ranks
+    found: dict = {}
+    while open_:
+        aggs = []
+        for t, ((c, _k), (lo, hi)) in enumerate(open_.items()):
+            x = xs[c]
+            aggs += [F.count_if(x < lo).alias(f"below{t}"), F.count_if((x >= lo) & (x <= hi)).alias(f"width{t}"),
+                     F.count_if(x == lo).alias(f"low{t}"), F.count_if(x == hi).alias(f"high{t}"),
+                     F.min(F.when(x > lo, x)).alias(f"next{t}"), F.max(F.when(x < hi, x)).alias(f"prev{t}"),
+                     F.approx_count_distinct(F.when((x > lo) & (x < hi), x), 0.05).alias(f"ndv{t}")]
+        row = df.agg(*aggs).first()
+        wider, inner = {}, []
+        for t, ((c, k), (lo, hi)) in enumerate(open_.items()):
+            below, low, high = row[f"below{t}"], row[f"low{t}"], row[f"high{t}"]
+            end, last = below + row[f"width{t}"], min(k + 1, bounds[c][2] - 1)
+            if k < below or last >= end:
+                wider[c, k] = sure[c, k]
+            elif last < below + low:
+                found[c, k] = (lo, lo)
+            elif k >= end - high:
+                found[c, k] = (hi, hi)
+            elif k < below + low:
+                found[c, k] = (lo, float(row[f"next{t}"]))
+            elif last >= end - high:
+                found[c, k] = (float(row[f"prev{t}"]), hi)
+            else:  # both ranks strictly inside; positions among the rows inside
+                sure[c, k] = (float(row[f"next{t}"]), float(row[f"prev{t}"]))
+                inner.append(((c, k), k - below - low, max(1, end - high - below - low - 1), row[f"ndv{t}"] <= map_limit))
+        open_ = wider
+        if not inner:
+            continue
+        aggs = []
+        for t, ((c, k), at, top, exact) in enumerate(inner):
+            lo, hi = sure[c, k]
+            inside = F.when((xs[c] >= lo) & (xs[c] <= hi), xs[c])
+            if exact:
+                aggs.append(F.percentile(inside, F.array(F.lit(at / top), F.lit((at + 1) / top))).alias(f"v{t}"))
+            else:
+                share = [max(0.0, at / top - 3.0 / accuracy), min(1.0, (at + 1) / top + 3.0 / accuracy)]
+                aggs.append(F.percentile_approx(inside, share, accuracy).alias(f"v{t}"))
+        row = df.agg(*aggs).first()
+        for t, (target, _at, _top, exact) in enumerate(inner):
+            v = tuple(float(q) for q in row[f"v{t}"])
+            if exact:
+                found[target] = v
+            else:
+                open_[target] = v
+    return found
+
+
 # ---------------------------------------------------------------- A1 / A2
 
 def shape_types(df: DataFrame) -> DataFrame:

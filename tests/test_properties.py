@@ -91,7 +91,7 @@ def test_tree_shap_additive_and_gbt_learns(spark):
 
 
 def test_exact_quantiles_band_path_matches_percentile(spark):
-    """Force the sketch-bracketed path (map_limit=1) and compare with Spark's exact ``percentile``."""
+    """Force the narrowing path (map_limit=1) and compare with Spark's exact ``percentile``."""
     from tabula.operators import profile
     li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
     cols = ["l_extendedprice", "l_quantity", "l_discount"]
