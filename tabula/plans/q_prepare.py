@@ -469,6 +469,15 @@ def q_error_counts(spark, sf):
     return rounded(error_counts(_val(spark, sf), ["model", "method"]))
 
 
+@register("error_summary", f"""
+SELECT model, method, count(*) AS n_rows, CAST(sum(CAST(label <> prediction AS INTEGER)) AS BIGINT) AS n_errors,
+  round(avg(CAST(label <> prediction AS INTEGER)) * 100, 6) AS error_pct FROM {_VAL} v GROUP BY 1, 2""")
+def q_error_summary(spark, sf):
+    """X6: rows, errors and their percentage, per model."""
+    from tabula.operators.explain import error_summary
+    return rounded(error_summary(_val(spark, sf), ["model", "method"]))
+
+
 @register("error_describe", "SELECT * FROM (" + "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
   round(CAST(min({c}) AS DOUBLE), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
