@@ -9,6 +9,7 @@ as in the reference; boosters and kNN do not.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
@@ -73,7 +74,8 @@ def booster_params(profile: str, overrides: Mapping | None = None) -> dict:
 
 
 def translate(params: Mapping) -> dict:
-    """Library hyper-parameter names -> Spark GBT / tree parameters; names without an equivalent drop out."""
+    """Library hyper-parameter names -> Spark GBT / tree parameters; names without an equivalent drop out. A bound on the
+    leaves bounds the depth at which a full tree has as many."""
     out = {}
     for k, v in params.items():
         if k in ("n_estimators", "iterations"):
@@ -92,6 +94,9 @@ def translate(params: Mapping) -> dict:
             out["minInfoGain"] = float(v)
         elif k == "criterion":
             out["impurity"] = str(v)
+    if "num_leaves" in params:
+        full = math.ceil(math.log2(max(2, int(params["num_leaves"]))))
+        out["maxDepth"] = min(out.get("maxDepth", MAX_TREE_DEPTH), full)
     return out
 
 

@@ -245,7 +245,7 @@ def holdout_search(train: DataFrame, valid: DataFrame, estimator_fn: Callable[[d
     return best_model, trials[best_t], table
 
 
-# ---------------------------------------------------------------- T7 / T8
+# ---------------------------------------------------------------- T7
 
 def cv_compare(train: DataFrame, estimators: Mapping[str, Callable[[], object]], fold_col: str = "fold",
                label: str = "label", parallelism: int = 4) -> DataFrame:
@@ -262,18 +262,3 @@ def cv_compare(train: DataFrame, estimators: Mapping[str, Callable[[], object]],
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         res = list(pool.map(run, jobs))
     return spark.createDataFrame([(n, int(f), float(s)) for n, f, s in res], "model string, fold int, f1 double")
-
-
-def compare_all(train: DataFrame, test: DataFrame, estimators: Mapping[str, Callable[[], object]],
-                fold_col: str = "fold", label: str = "label", parallelism: int = 4) -> DataFrame:
-    """CV mean / std of weighted F1 per model plus its test F1 after a fit on all training rows."""
-    spark = train.sparkSession
-    summary = cv_summary(cv_compare(train, estimators, fold_col, label, parallelism))
-
-    def run(name):
-        return name, _fit_and_f1(lambda _p: estimators[name](), {}, train, test, label)
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        tests = list(pool.map(run, list(estimators)))
-    t = spark.createDataFrame([(n, float(s)) for n, s in tests], "model string, test_f1 double")
-    return summary.join(t, "model")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.plans import q_models, q_neighbors, q_prepare, q_profile  # noqa: F401
+from tabula.plans import q_flow, q_models, q_neighbors, q_prepare, q_profile  # noqa: F401
 from tabula.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE", "flagship"]

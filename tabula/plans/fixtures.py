@@ -76,6 +76,34 @@ def orders_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- orders as a client table: string target, sentinels, nulls, a count to binarize, a column to drop ------------
+
+CLIENTS_SQL = """(SELECT CAST(o_orderkey AS VARCHAR) AS row_id,
+    CASE WHEN coalesce(o_totalprice >= 300000 AND c_nationkey % 4 >= 1 AND o_orderpriority IN ('1-URGENT', '2-HIGH'), false)
+      <> (substr(md5(CAST(o_orderkey AS VARCHAR) || ':noise'), 1, 1) = '0') THEN 'yes' ELSE 'no' END AS y,
+    CASE WHEN o_orderkey % 10 <> 3 THEN o_totalprice END AS price, c_acctbal AS balance, c_nationkey % 4 AS previous,
+    CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'unknown' ELSE o_orderpriority END AS priority,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN 'unknown' ELSE c_mktsegment END AS segment,
+    nullif(o_orderstatus, 'P') AS status, year(o_orderdate) AS duration
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey)"""
+
+
+def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label that depends on three columns and has a sixteenth of its rows flipped."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    j = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
+    row_id, previous = F.col("o_orderkey").cast("string"), F.col("c_nationkey") % 4
+    rule = F.coalesce((F.col("o_totalprice") >= 300000) & (previous >= 1) & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit(False))
+    flipped = F.substring(F.md5(F.concat(row_id, F.lit(":noise"))), 1, 1) == "0"
+    return j.select(
+        row_id.alias("row_id"), F.when(rule != flipped, F.lit("yes")).otherwise(F.lit("no")).alias("y"),
+        F.when(F.col("o_orderkey") % 10 != 3, F.col("o_totalprice")).alias("price"), F.col("c_acctbal").alias("balance"),
+        previous.alias("previous"),
+        F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("unknown")).otherwise(F.col("o_orderpriority")).alias("priority"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("unknown")).otherwise(F.col("c_mktsegment")).alias("segment"),
+        F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status"), F.year("o_orderdate").alias("duration"))
+
+
 # ---- deterministic scored table for the metric operators ---------------------------------------
 # Three synthetic "models" whose scores blend the planted label with md5 uniforms; scores are floored
 # to 2 decimals so ties occur. split: 80 % validation / 20 % test. One md5 per row supplies all four

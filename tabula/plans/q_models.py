@@ -7,7 +7,7 @@ its summaries use a fixed rule / fixed coefficients so that DuckDB can reproduce
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabula.operators import explain, metrics, models, report, resample, search
@@ -26,13 +26,6 @@ def _eval(scored, name, method="fit"):
     return metrics.evaluate_models(s)
 
 
-def smote_prepared(df, k: int = 5, seed: int = 42):
-    """SMOTE on prepared rows (features vector -> array -> synthetic rows -> vector); weights become 1."""
-    arr = df.select("row_id", vector_to_array("features").alias("v"), "label")
-    out = resample.smote(arr, "label", "row_id", "v", k, seed)
-    return out.select("row_id", "label", array_to_vector("v").alias("features"), F.lit(1.0).alias("weight"))
-
-
 # ---------------------------------------------------------------- F7 / F8 / E1
 
 def _assemble_sql() -> str:
@@ -66,7 +59,7 @@ def q_assemble_features(spark, sf):
 def q_pipeline_fit_score(spark, sf):
     """prep (fitted on train) -> SMOTE on train only -> logistic regression -> validation metrics."""
     p = prepare(spark, sf)
-    train = smote_prepared(p.part("train"))
+    train = resample.smote_features(p.part("train"))
     model = models.BalancedLogistic(C=1.0).fit(train)
     return _eval(models.score(model, p.part("validation")), "LogisticRegression", "smote")
 
@@ -180,7 +173,7 @@ def q_random_search(spark, sf):
     tr = p.part("train")
     best, params, summary = search.random_search(
         tr, lambda c: models.BalancedLogistic(C=float(c["C"])),
-        search.SEARCH_SPACES["LogisticRegression"], n_iter=20, resample=smote_prepared, model_name="LogisticRegression")
+        search.SEARCH_SPACES["LogisticRegression"], n_iter=20, resample=resample.smote_features, model_name="LogisticRegression")
     return summary
 
 
@@ -189,7 +182,7 @@ def _holdout(spark, sf, profile, max_evals=20):
     p = prepare(spark, sf, noise=NOISE)
     best, params, trials = search.holdout_search(p.part("train"), p.part("validation"), lambda c: models.gbt(profile, c),
                                                  search.HOLDOUT_SPACES[profile], max_evals=max_evals,
-                                                 model_name=f"GBT-{profile}", resample=smote_prepared)
+                                                 model_name=f"GBT-{profile}", resample=resample.smote_features)
     return trials
 
 
@@ -215,16 +208,6 @@ def q_cv_compare(spark, sf):
     return search.cv_summary(search.cv_compare(p.part("train"), ests))
 
 
-@register("compare_all")
-def q_compare_all(spark, sf):
-    p = prepare(spark, sf, folds=5)
-    ests = {"DecisionTree": lambda: models.decision_tree(),
-            "LogisticRegression": lambda: models.BalancedLogistic(),
-            "GBT-A": lambda: models.gbt("A", SHORT), "GBT-B": lambda: models.gbt("B", SHORT),
-            "GBT-C": lambda: models.gbt("C", SHORT)}
-    return search.compare_all(p.part("train"), p.part("test"), ests)
-
-
 # ---------------------------------------------------------------- X1-X5
 
 @register("tree_importance")
