@@ -1,9 +1,10 @@
 """Steps whose cost per task must not grow with the table; each test builds its own rows."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tabula.functions.expr import hash_key
-from tabula.operators import split
+from tabula.operators import neighbors, split
 
 
 def _train_part(spark, n=20_000):
@@ -54,3 +55,46 @@ def test_equal_hashes_are_ranked_together(spark):
     ranked = sorted(r[0] for r in rows.select(h).collect())
     found = split.rank_cutoffs(rows, "label", h, {1: [700, 1500, 2999]}, {1: 3000}, band_rows=10)
     assert found == {(1, r): ranked[r - 1] for r in (700, 1500, 2999)}
+
+
+def test_knn_of_string_ids_with_ties_and_repeats(spark):
+    """Two dense values, hot cells cut into blocks and queries far from everything: equal to brute force."""
+    rng = np.random.default_rng(5)
+    v = np.round(np.c_[rng.integers(0, 4, 1500), rng.normal(size=(1500, 2))], 1)
+    v[:400] = v[0]
+    ids = [f"r{i}" for i in range(len(v))]
+    df = spark.createDataFrame([(i, x.tolist(), int(x[0])) for i, x in zip(ids, v)], "id string, v array<double>, label int")
+    far = spark.createDataFrame([("far", [90.0, -3.0, 2.0])], "id string, v array<double>")
+    for metric in ("euclidean", "manhattan"):
+        for own in (True, False):
+            qs = df.select("id", "v") if own else df.where("pmod(xxhash64(id), 7) = 0").select("id", "v").unionByName(far)
+            got: dict = {}
+            for r in neighbors.knn(qs, df, 4, metric, "id", "id", exclude_self=own, cell_rows=32, block_rows=40).collect():
+                got.setdefault(r.q_id, []).append((r["rank"], r.r_id, r.distance))
+            assert len(got) == qs.count()
+            for q in qs.collect():
+                diff = v - np.array(q.v)
+                dist = np.zeros(len(v))
+                for x in range(3):
+                    dist += diff[:, x] ** 2 if metric == "euclidean" else np.abs(diff[:, x])
+                dist = np.sqrt(dist) if metric == "euclidean" else dist
+                want = [j for j in sorted(range(len(v)), key=lambda j: (dist[j], ids[j])) if not own or ids[j] != q.id][:4]
+                assert sorted(got[q.id]) == [(n + 1, ids[j], dist[j]) for n, j in enumerate(want)]
+
+
+def test_cells_visited_do_not_grow_with_the_reference():
+    """A neighbour's distance shrinks as rows get denser: ten times the cells, about the same number visited."""
+    rng = np.random.default_rng(6)
+    mean = []
+    for n in (40_000, 400_000):
+        x = np.c_[rng.integers(0, 11, n) / 3.0, rng.integers(0, 9, n) / 2.5, rng.normal(size=(n, 2))]
+        tree = neighbors.CellTree(x[::32], n // 1000)
+        cell = tree.cells_of(x)
+        lo, hi = np.full((tree.n_cells, 4), np.inf), np.full((tree.n_cells, 4), -np.inf)
+        np.minimum.at(lo, cell, x)
+        np.maximum.at(hi, cell, x)
+        tree.fit_boxes(lo, hi)
+        q = x[:300]
+        limit = np.array([np.sort(np.sqrt(((x - y) ** 2).sum(axis=1)))[3] for y in q])
+        mean.append(len(tree.within(q, limit, "euclidean")[0]) / len(q))
+    assert mean[1] < 6 and mean[1] < 2 * mean[0]
