@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tabula.functions.expr import hash_key
-from tabula.operators import neighbors, split
+from tabula.operators import explain, neighbors, split
 
 
 def _train_part(spark, n=20_000):
@@ -98,3 +98,27 @@ def test_cells_visited_do_not_grow_with_the_reference():
         limit = np.array([np.sort(np.sqrt(((x - y) ** 2).sum(axis=1)))[3] for y in q])
         mean.append(len(tree.within(q, limit, "euclidean")[0]) / len(q))
     assert mean[1] < 6 and mean[1] < 2 * mean[0]
+
+
+def test_permutation_repeats_run_one_after_the_other(spark):
+    """Each repeat is a query of its own whose shuffle files are deleted at its end; pairs are those of both hash orders."""
+    import hashlib
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    rows = [(f"k{i}", i % 2, float(i % 2), float(i * 7 % 11)) for i in range(101)]
+    df = spark.createDataFrame(rows, "row_id string, label int, a double, b double")
+    on = []
+    run = explain._each_repeat
+    try:
+        explain._each_repeat = lambda s, reps, f: run(s, reps, lambda r: (on.append((r, s.conf.get(name))), f(r))[1])
+        got = {r.feature: r for r in explain.permutation_importance(df, lambda c: (c["a"] > 0.5).cast("int"), ["a", "b"], n_repeats=3).collect()}
+    finally:
+        explain._each_repeat = run
+    assert on == [(0, "true"), (1, "true"), (2, "true")] and spark.conf.get(name, None) == was
+
+    def order(end):
+        return sorted(rows, key=lambda r: hashlib.md5(f"{r[0]}:42:{end}".encode()).hexdigest())
+    drops = [1 - np.mean([s[2] == t[1] for t, s in zip(order("base"), order(r))]) for r in range(3)]
+    assert abs(got["a"].importance - np.mean(drops)) < 1e-12 and abs(got["a"].importance_std - np.std(drops)) < 1e-12
+    assert got["b"].importance == 0.0 and (got["a"]["rank"], got["b"]["rank"]) == (1, 2)
