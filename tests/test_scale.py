@@ -122,3 +122,23 @@ def test_permutation_repeats_run_one_after_the_other(spark):
     drops = [1 - np.mean([s[2] == t[1] for t, s in zip(order("base"), order(r))]) for r in range(3)]
     assert abs(got["a"].importance - np.mean(drops)) < 1e-12 and abs(got["a"].importance_std - np.std(drops)) < 1e-12
     assert got["b"].importance == 0.0 and (got["a"]["rank"], got["b"]["rank"]) == (1, 2)
+
+
+def test_roc_series_read_the_scored_rows_once(spark, monkeypatch):
+    from tabula.operators import metrics, report
+
+    i = F.col("id")
+    scored = spark.range(977).select(F.lit("m").alias("model"), F.lit("x").alias("method"), (i % 3 == 0).cast("int").alias("label"),
+                                     ((i * 37 % 100) / 100 + (i % 3 == 0).cast("int") * 0.2).alias("score"))
+    write, reads = metrics.materialize, []
+
+    def written(df, name):
+        reads.append("Range (0, 977" in df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+    for module in (metrics, report):
+        monkeypatch.setattr(module, "materialize", written, raising=False)
+    out = report.roc_curves_all(scored)
+    got = sorted((r.threshold, r.fpr, r.tpr) for r in out.where("model = 'm' AND threshold IS NOT NULL").collect())
+    assert sum(reads) == 1
+    want = metrics.roc_curve(scored, ["model", "method"]).where("threshold IS NOT NULL").collect()
+    assert got == sorted((r.threshold, r.fpr, r.tpr) for r in want)
