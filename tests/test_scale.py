@@ -142,3 +142,24 @@ def test_roc_series_read_the_scored_rows_once(spark, monkeypatch):
     assert sum(reads) == 1
     want = metrics.roc_curve(scored, ["model", "method"]).where("threshold IS NOT NULL").collect()
     assert got == sorted((r.threshold, r.fpr, r.tpr) for r in want)
+
+
+def test_learner_rows_are_dealt_evenly(spark):
+    """A learner's partitions stay small however few files hold the table; small tables are left alone."""
+    from tabula.operators.search import at_once, in_even_partitions
+
+    rows = spark.range(0, 4000, 1, 2).select(F.col("id").cast("string").alias("row_id"))
+    dealt = in_even_partitions(rows, rows=500, least=100)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 750 and sum(sizes) == 4000
+    assert in_even_partitions(rows) is rows
+    assert at_once(1_000, 4) == 4 and at_once(3_000_000, 4) == 2 and at_once(10 ** 9, 4) == 1
+
+
+def test_assignments_hash_a_row_once(spark):
+    """The hash is computed in a step of its own, not once for every cutoff of every class."""
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("row_id"), (F.col("id") % 3).alias("label"))
+    for out in (split.three_way_split(rows, "label", "row_id"), split.stratified_kfold(rows, "label", "row_id", 5),
+                split.stratified_split(rows, "label", "row_id")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("md5(") == 1 and split.HASH not in out.columns
