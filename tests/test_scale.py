@@ -163,3 +163,33 @@ def test_assignments_hash_a_row_once(spark):
                 split.stratified_split(rows, "label", "row_id")):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("md5(") == 1 and split.HASH not in out.columns
+
+
+def test_sets_of_a_search_are_resampled_once(spark):
+    """Each fold's set and the refit set are written once, whatever the number of configurations."""
+    from tabula.operators import search
+
+    rows = spark.range(300).select(F.col("id").cast("string").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"),
+                                   (F.col("id") % 3).cast("int").alias("fold"), F.lit(1.0).alias("weight"))
+    ran = spark.sparkContext.accumulator(0)
+
+    def resample(df):
+        def seen(batches):
+            for b in batches:
+                ran.add(b.num_rows)
+                yield b
+        return df.mapInArrow(seen, df.schema)
+
+    class Guess:
+        def __init__(self, c):
+            self.c = c
+
+        def fit(self, df):
+            df.count(), df.agg(F.sum("weight")).first()
+            return self
+
+        def transform(self, df):
+            return df.withColumn("prediction", F.lit(self.c))
+
+    search.random_search(rows, lambda p: Guess(p["C"]), {"C": [0, 1]}, resample=resample)
+    assert ran.value == 3 * 200 + 300
